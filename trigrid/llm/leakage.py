@@ -1,7 +1,8 @@
 """Evaluation texts in documents: shared character q-grams in overlapping diagonal bands, then banded alignment.
 
-Texts are compared as their words joined by single blanks. A passage of `length` characters that is found in a document
-with at most `edits` edits shares at least length + 1 - q * (edits + 1) q-grams with it, all within a band of edits + 1
+Texts are compared as their words joined by single blanks. A passage is a run of n_words words of an item; `length` is the
+least number of characters that such a run of the item has. A passage that is found in a document with at most `edits`
+edits shares at least length + 1 - q * (edits + 1) q-grams with it, all within a band of edits + 1
 diagonals (the q-gram lemma). Bands of 2 * (edits + 1) diagonals that overlap by half hold any such band as a whole, so
 no region that meets the bound is lost. The regions kept are aligned in a band around their diagonals.
 """
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 
 from trigrid.llm.words import mix, words
 
-#: Words of a passage, edits allowed in it, characters of a q-gram. 12 words have 23 characters at least.
-WORDS, EDITS, Q = 12, 1, 8
+#: Words of a passage, edits allowed in it, characters of a q-gram at most (fewer where a passage is too short for the bound).
+WORDS, EDITS, Q = 12, 1, 12
 #: Evaluation texts sent to all tasks at once: at most so many characters; more are taken in rounds.
 ITEM_CHARS = 4_000_000
 #: Documents' characters looked at together, regions aligned together.
-CHUNK, REGIONS = 4_000_000, 4096
+CHUNK, REGIONS = 1_000_000, 4096
 _BITS = 22
 
 
@@ -42,8 +43,15 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The q-grams of the evaluation texts, sorted by hash, with a bit table in front."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], q: int) -> None:
-        self.ids, self.texts, self.q = ids, texts, q
+    def __init__(self, ids: np.ndarray, texts: list[str], n_words: int, edits: int, q: int) -> None:
+        self.ids, self.texts = ids, texts
+        self.runs: list[set[str]] = []
+        for t in texts:
+            w = t.split(" ")
+            self.runs.append({" ".join(w[i : i + n_words]) for i in range(len(w) - n_words + 1)})
+        self.length = np.array([min(map(len, r), default=0) for r in self.runs])
+        self.q = q = min(q, int(self.length.min(initial=q * (edits + 1))) // (edits + 1))
+        self.need = self.length + 1 - q * (edits + 1)
         self.codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
@@ -69,13 +77,12 @@ class Index:
         return np.repeat(pos, n), np.repeat(lo, n) + each
 
 
-def regions(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, at: np.ndarray, q: int, length: int, edits: int) -> tuple[np.ndarray, ...]:
-    """(document, item, lowest diagonal, first and last position in the document) of the bands that meet the bound.
+def regions(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, at: np.ndarray, q: int, need: np.ndarray, edits: int) -> tuple[np.ndarray, ...]:
+    """(document, item, lowest diagonal, first and last position in the document) of the bands that meet the bound; need: hits by item.
 
     Within a band, hits further apart than the gap that the edits can leave start a new region.
     """
     width = 2 * (edits + 1)
-    need = length + 1 - q * (edits + 1)
     diag = pos - at
     docs, items, lows, firsts, lasts = [], [], [], [], []
     for shift in (0, edits + 1):
@@ -87,7 +94,7 @@ def regions(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, at: np.ndarray,
         new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > (edits + 1) * q + edits)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(d)) - 1
-        keep = last - first + 1 >= need
+        keep = last - first + 1 >= need[i[first]]
         first, last = first[keep], last[keep]
         docs.append(d[first])
         items.append(i[first])
@@ -122,14 +129,11 @@ def aligned(codes: np.ndarray, other: np.ndarray, start: np.ndarray, end: np.nda
     return best
 
 
-def _search(index_bytes: tuple[np.ndarray, list[str]], n_words: int, length: int, edits: int, q: int):
+def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = index_bytes
-        index = Index(ids, texts, q)
-        runs = []
-        for t in texts:
-            w = t.split(" ")
-            runs.append({" ".join(w[i : i + n_words]) for i in range(len(w) - n_words + 1)})
+        ids, texts = pack
+        index = Index(ids, texts, n_words, edits, most_q)
+        q, runs = index.q, index.runs
 
         def look(doc_ids: list, docs: list[str]) -> pa.RecordBatch:
             codes = np.frombuffer("".join(x + "\r" for x in docs).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -140,7 +144,7 @@ def _search(index_bytes: tuple[np.ndarray, list[str]], n_words: int, length: int
                 doc = np.searchsorted(begin, pos, "right") - 1
                 inside = pos + q < begin[doc + 1]
                 pos, k, doc = pos[inside], k[inside], doc[inside]
-                d, i, low, first, last = regions(doc, pos, index.item[k], index.at[k], q, length, edits)
+                d, i, low, first, last = regions(doc, pos, index.item[k], index.at[k], q, index.need, edits)
                 score = np.zeros(len(d), np.int64)
                 order = np.argsort(last - first, kind="stable")
                 slack = edits + 1
@@ -150,8 +154,8 @@ def _search(index_bytes: tuple[np.ndarray, list[str]], n_words: int, length: int
                     end = np.minimum(last[r] + slack, begin[d[r] + 1] - 1)
                     score[r] = aligned(codes, index.codes, start, end, low[r], index.start[i[r] + 1] - 1, index.start[i[r]], 2 * (edits + 1))
                 best: dict[tuple, int] = {}
-                for a, b, s in zip(d.tolist(), i.tolist(), score.tolist(), strict=True):
-                    if s >= length - 3 * edits:
+                for a, b, s, least in zip(d.tolist(), i.tolist(), score.tolist(), (index.length[i] - 3 * edits).tolist(), strict=True):
+                    if s >= least:
                         best[a, b] = max(s, best.get((a, b), 0))
                 split: dict[int, list[str]] = {}
                 for (a, b), s in sorted(best.items()):
@@ -179,13 +183,16 @@ def _search(index_bytes: tuple[np.ndarray, list[str]], n_words: int, length: int
     return run
 
 
-def pack_items(items: DataFrame, item_id: str, text: str, most: int = ITEM_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
+def pack_items(items: DataFrame, item_id: str, text: str, n_words: int, most: int = ITEM_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
     """The evaluation texts as normalised strings, in rounds of at most `most` characters (one longer text is a round)."""
     ids: list[int] = []
     texts: list[str] = []
     size = 0
     for r in items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text).distinct().toLocalIterator():
-        t = " ".join(words(r[1]))
+        w = words(r[1])
+        if len(w) < n_words:
+            continue
+        t = " ".join(w)
         if size and size + len(t) > most:
             yield np.array(ids), texts
             ids, texts, size = [], [], 0
@@ -200,16 +207,15 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
     """(doc_id, item_id, score, shared_runs): documents with a passage of an item, found with at most `edits` edits in it.
 
     score is that of the best alignment: the characters in common, less 2 for each edit. shared_runs is the number of windows of n_words words that are exactly in both: 0 where the passage is only nearly
-    the same. A passage has the length of n_words words of one letter at least. Null and empty texts share nothing; copies of a row
+    the same. An item of fewer words has no passage. Null and empty texts share nothing; copies of a row
     come out once each, an item_id with several texts is one item for each. Only the items are sent to the tasks, in rounds of bounded size; documents are never shuffled.
     """
-    length = 2 * n_words - 1
-    if length + 1 - q * (edits + 1) < 1:
-        raise ValueError("q-grams too long for so many edits")
+    if 2 * n_words - 1 < edits + 1:
+        raise ValueError("too many edits for so few words")
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, score long, shared_runs long"
     out = None
-    for pack in pack_items(items, item_id, text):
-        part = rows.mapInArrow(_search(pack, n_words, length, edits, q), schema)
+    for pack in pack_items(items, item_id, text, n_words):
+        part = rows.mapInArrow(_search(pack, n_words, edits, q), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
