@@ -1,0 +1,108 @@
+"""Leaves of a vector space: centroids from a bounded sample, the home leaf of every vector, the leaves a ball around it touches."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows the centroids and codebooks are fitted on at most; rows aimed at in a leaf; rows of a block (a leaf of more is split).
+SAMPLE, LEAF, BLOCK = 32_768, 1536, 4096
+
+
+def usable(v: Column, size: int, positive: bool = False) -> Column:
+    """Whether an array has `size` elements, all finite (and > 0). A null array isn't usable."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & ((x > 0) if positive else F.lit(True))
+    return F.coalesce((F.size(v) == size) & F.forall(v, good), F.lit(False))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """A list<double> column as rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), size)
+
+
+def from_bytes(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(-1, size)
+
+
+def to_bytes(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x.tobytes())])
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = x @ y.T
+    d *= -2
+    d += (x * x).sum(1)[:, None]
+    d += (y * y).sum(1)
+    return np.maximum(d, 0, out=d)
+
+
+def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, centres: np.ndarray | None = None) -> np.ndarray:
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)] if centres is None else centres
+    for _ in range(rounds):
+        own = squared(x, c).argmin(1)
+        n = np.bincount(own, minlength=len(c))
+        total = np.stack([np.bincount(own, x[:, i], len(c)) for i in range(x.shape[1])], 1)
+        c = total[n > 0] / n[n > 0, None]
+    return c
+
+
+def centroids(sample: np.ndarray, total: int, leaf: int = LEAF, seed: int = 7) -> np.ndarray:
+    """Centroids such that a leaf holds about `leaf` of `total` rows: dense regions are split again and again.
+
+    At least 8 rows of the sample make a leaf, so there are at most SAMPLE / 8 leaves; the blocks of a leaf take the rest.
+    """
+    rng = np.random.default_rng(seed)
+    most = max(8.0, leaf * len(sample) / max(total, 1))
+    done, open_ = [], [sample]
+    while open_:
+        x = open_.pop()
+        if len(x) <= most or (x == x[0]).all():
+            done.append(x.mean(0))
+            continue
+        c = k_means(x, min(16, max(2, int(np.ceil(len(x) / most)))), 6, rng)
+        own = squared(x, c).argmin(1)
+        parts = [x[own == i] for i in range(len(c))]
+        parts = [p for p in parts if len(p)]
+        if len(parts) == 1:
+            done.append(x.mean(0))
+        else:
+            open_.extend(parts)
+    return np.array(done)
+
+
+class Leaves:
+    """Sent to all tasks: at most SAMPLE / 8 centroids, and the number of blocks of each."""
+
+    def __init__(self, sample: np.ndarray, total: int, leaf: int = LEAF, block: int = BLOCK) -> None:
+        self.c = centroids(sample, total, leaf)
+        own = squared(sample, self.c).argmin(1)
+        share = np.bincount(own, minlength=len(self.c)) / max(len(sample), 1)
+        self.blocks = np.maximum(1, np.ceil(share * total / block)).astype(np.int64)
+        self.own = own
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = squared(x, self.c)
+        return d.argmin(1), d
+
+    def touched(self, home: np.ndarray, d: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of the other leaves whose border is within reach of the row.
+
+        If y is within reach of x and at home in leaf j, then x is within reach of the border between its leaf and j: nothing is lost.
+        """
+        between = np.sqrt(squared(self.c, self.c))
+        row = np.arange(len(home))
+        gap = (d - d[row, home][:, None]) <= 2 * reach * between[home] * (1 + 1e-9) + 1e-12
+        gap[row, home] = False
+        return np.nonzero(gap)
+
+
+def sample_of(rows: DataFrame, vec: str, key: list[str], size: int, n: int = SAMPLE) -> np.ndarray:
+    """At most n vectors, those with the smallest hashes of their keys: the same whatever the partitioning."""
+    got = rows.select(vec, F.xxhash64(*key).alias("__h")).orderBy("__h").limit(n).select(vec).toArrow()
+    return matrix(got.column(0), size)

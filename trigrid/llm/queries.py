@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrid.llm.leakage import leaked
+from trigrid.llm.leaves import sample_of, usable
+from trigrid.llm.neighbours import mutual_pairs, search
 from trigrid.llm.repetition import repetition
 from trigrid.llm.terms import joined_words, term_frequencies, with_marks
+from trigrid.runtime import current_rows
 
 
 def _term_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +28,41 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return _term_counts(spark, d)
 
 
+#: Fixed values of problem 3: table, id, vector, order of versions, length; then what p3_found asks for.
+KINDS = {"theta": ("loading", "id", "theta", "fitted_at", 10), "rand_proj": ("bulk_cells", "col_id", "rand_proj", "computed_at", 24)}
+
+
+def _vectors(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, int, object]:
+    """(id, vec) of the current usable vectors, as they are compared; an upper bound of their number; a sample."""
+    table, key, vec, latest, size = KINDS[kind]
+    raw = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("id"), F.col(latest).alias("at"), F.col(vec).alias("vec"))
+
+    def clean(df: DataFrame) -> DataFrame:
+        if kind == "theta":
+            return df.where(usable("vec", size, True)).withColumn("vec", F.transform("vec", lambda x: F.log(x)))
+        return df.where(usable("vec", size) & F.exists("vec", lambda x: x != 0))
+
+    return clean(current_rows(raw, ["id"], "at", ["vec"])), raw.count(), sample_of(clean(raw), "vec", ["id", "at"], size)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs among each other's three nearest: theta by the distance of logarithms, rand_proj by cosine (|x - y|^2 = 2 - 2 cos)."""
+    out = []
+    for kind, radius in (("theta", 0.25), ("rand_proj", (2 - 2 * 0.98) ** 0.5)):
+        rows, total, sample = _vectors(spark, d, kind)
+        out.append(mutual_pairs(rows, KINDS[kind][4], 3, radius, total, sample, kind == "rand_proj").select(F.lit(kind).alias("vec_kind"), "id_a", "id_b"))
+    return out[0].unionByName(out[1])
+
+
+def p3_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The three most similar cells of every cell whose id is divisible by 100, against all cells."""
+    out = []
+    for kind in KINDS:
+        rows, total, sample = _vectors(spark, d, kind)
+        out.append(search(rows.where("id % 100 = 0"), rows, KINDS[kind][4], 3, total, sample, unit=kind == "rand_proj").select(F.lit(kind).alias("vec_kind"), "id_a", "id_b", F.round(F.sqrt("d2"), 9).alias("distance"), "rank"))
+    return out[0].unionByName(out[1])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")).where("shared_runs > 0").select("doc_id", "item_id").distinct()
 
@@ -42,7 +80,7 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition(spark.read.parquet(f"{d}/documents.parquet")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found, "p8_repetition": p8_repetition}
+QUERIES = {"p3_found": p3_found, "p3_knn": p3_knn, "p4_found": p4_found, "p4_terms": p4_terms, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found, "p8_repetition": p8_repetition}
 
 _TERMS = r"""
 WITH w AS (SELECT list_id, line_no, regexp_split_to_array(trim(row_line, chr(32) || chr(9)), '[ \t]+') AS w FROM row_lists WHERE trim(row_line, chr(32) || chr(9)) <> ''),
