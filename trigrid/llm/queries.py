@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trigrid.llm.clusters import clusters, described
 from trigrid.llm.leakage import leaked
 from trigrid.llm.leaves import sample_of, usable
 from trigrid.llm.neighbours import mutual_pairs, search
+from trigrid.llm.packing import pack
 from trigrid.llm.repetition import repetition
 from trigrid.llm.terms import joined_words, term_frequencies, with_marks
 from trigrid.runtime import current_rows
@@ -45,6 +47,25 @@ def _vectors(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, int, ob
     return clean(current_rows(raw, ["id"], "at", ["vec"])), raw.count(), sample_of(clean(raw), "vec", ["id", "at"], size)
 
 
+def _log_theta(spark: SparkSession, d: str) -> tuple[DataFrame, int, object]:
+    raw = spark.read.parquet(f"{d}/loading.parquet").select("id", F.col("fitted_at").alias("at"), F.col("log_theta").alias("vec"))
+    clean = lambda df: df.where(usable("vec", 10))
+    return clean(current_rows(raw, ["id"], "at", ["vec"])), raw.count(), sample_of(clean(raw), "vec", ["id", "at"], 10)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, total, sample = _log_theta(spark, d)
+    return clusters(rows, 10, 0.25, total, sample)
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every member with the size of its cluster, the three most typical members, and the coarse bucket it was in."""
+    rows, total, sample = _log_theta(spark, d)
+    out = described(clusters(rows, 10, 0.25, total, sample), rows, 10)
+    cells = spark.read.parquet(f"{d}/bulk_cells.parquet").select(F.col("col_id").alias("id"), "computed_at", "positions")
+    return out.join(current_rows(cells, ["id"], "computed_at", ["positions"]), "id", "left")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs among each other's three nearest: theta by the distance of logarithms, rand_proj by cosine (|x - y|^2 = 2 - 2 cos)."""
     out = []
@@ -63,6 +84,16 @@ def p3_knn(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{d}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, pieces and tokens by how full the containers are (in percent, downwards)."""
+    each = p6_containers(spark, d).where("container_id IS NOT NULL").groupBy("container_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("fill").alias("fill"))
+    return each.groupBy(F.floor(F.col("fill") * 100).alias("percent")).agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")).where("shared_runs > 0").select("doc_id", "item_id").distinct()
 
@@ -80,7 +111,7 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition(spark.read.parquet(f"{d}/documents.parquet")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_knn": p3_knn, "p4_found": p4_found, "p4_terms": p4_terms, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found, "p8_repetition": p8_repetition}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_knn": p3_knn, "p4_found": p4_found, "p4_terms": p4_terms, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found, "p8_repetition": p8_repetition}
 
 _TERMS = r"""
 WITH w AS (SELECT list_id, line_no, regexp_split_to_array(trim(row_line, chr(32) || chr(9)), '[ \t]+') AS w FROM row_lists WHERE trim(row_line, chr(32) || chr(9)) <> ''),
