@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trigrid.llm.leaves import Leaves, from_bytes, k_means, matrix, squared, to_bytes
+from trigrid.functions.leaves import Leaves, from_bytes, k_means, matrix, squared, to_bytes
 from trigrid.llm.words import mix
 
 #: Inner products from this share of the vectors' length on matter for the loss; queries scanned at once.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trigrid.llm.clusters import clusters, described
 from trigrid.llm.leakage import leaked
-from trigrid.llm.leaves import sample_of, usable
+from trigrid.functions.leaves import sample_of, usable
 from trigrid.llm.neighbours import mutual_pairs, search
 from trigrid.llm.packing import pack
 from trigrid.llm.repetition import repetition
