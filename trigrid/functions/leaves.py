@@ -102,7 +102,13 @@ class Leaves:
         return np.nonzero(gap)
 
 
-def sample_of(rows: DataFrame, vec: str, key: list[str], size: int, n: int = SAMPLE) -> np.ndarray:
-    """At most n vectors, those with the smallest hashes of their keys: the same whatever the partitioning."""
-    got = rows.select(vec, F.xxhash64(*key).alias("__h")).orderBy("__h").limit(n).select(vec).toArrow()
-    return matrix(got.column(0), size)
+def sample_of(rows: DataFrame, vec: str, key: list[str], size: int, total: int, n: int = SAMPLE) -> np.ndarray:
+    """About n of at most `total` vectors (all, if there are no more): those whose key has a hash in the first n / total of the range.
+
+    The same whatever the partitioning; filtered where they are read, so no task and not the driver gets more than the sample.
+    """
+    share = int(min(1.0, n / max(total, 1)) * 2**30)
+    part = rows.where(F.pmod(F.xxhash64(*key), F.lit(2**30)) < share)
+    got = part.select(F.col(vec).alias("v"), F.xxhash64(*key).alias("h")).toArrow()
+    order = np.argsort(got.column("h").to_numpy(), kind="stable")
+    return matrix(got.column("v"), size)[order]

@@ -14,6 +14,7 @@ BROADCAST_ROWS = 50_000
 SALTS = 16
 
 _OWN_DIR: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,7 @@ def materialize(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trigrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -45,11 +47,23 @@ def release(spark: SparkSession, *paths: str | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that materialize() has written in this application: when no result is read any more."""
+    release(spark, *_WRITTEN.pop(spark.sparkContext.applicationId, []))
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, written and read back if it is more than a scan, so that counting it doesn't compute it twice."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    costly = any(x in plan for x in ("Aggregate", "Join", "Window", "MapIn", "FlatMap", "Generate", "Sort"))
+    return materialize(df, "lookup")[0] if costly else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", spread: Column | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join for skewed keys: rows of `big` go to one of `salts` copies of `small`, by `spread` (a hash of the whole row if not given).
 
@@ -63,6 +77,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup table: broadcast if it was counted to have at most `rows` rows, else salted. Same rows either way."""
+    small = held(small)
     return big.join(F.broadcast(small), on, how) if fits(small, rows) else salted_join(big, small, on, how)
 
 
