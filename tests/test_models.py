@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trigrid import MatrixSet
-from trigrid.functions import numeric
+from trigrid.functions import leaves, numeric
 from trigrid.operators import bulk, cluster, edges, graph, pmf, recal, simulate
 
 
@@ -226,6 +226,29 @@ def test_neighbours_exact(spark):
     assert graph.k_nearest(df, df.limit(0), 4, 3).count() == 0
 
 
+@pytest.mark.parametrize("other_only", [False, True])
+def test_neighbours_of_shifted_batches(spark, monkeypatch, other_only):
+    """By default every query has its true neighbours in each batch, however far from it the batch lies, and however small it is."""
+    monkeypatch.setattr(leaves.centroids, "__defaults__", (60, 7))
+    monkeypatch.setattr(leaves.Leaves.__init__, "__defaults__", (60, 4096))
+    rng = np.random.default_rng(12)
+    n, names = [500, 400, 60, 2], ["a", "b", "c", "none"]
+    x = np.concatenate([rng.normal(0, 1, (m, 5)) + 6 * i for i, m in enumerate(n)])
+    b = np.repeat(names, n)
+    df = spark.createDataFrame([(i + 1, v, g) for i, (v, g) in enumerate(zip(x.tolist(), b.tolist(), strict=True))], "id long, v array<double>, batch string").repartition(3)
+    got = {}
+    for r in graph.k_nearest(df, df, 5, 3, by="batch", other_only=other_only).collect():
+        got.setdefault((r["id"], r["batch"]), set()).add(r["match"])
+    want = {}
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        for g in names:
+            if not (other_only and g == b[i]):
+                j = np.flatnonzero(b == g)
+                want[i + 1, g] = set((j[np.lexsort((j, d[j]))][:3] + 1).tolist())
+    assert got == want
+
+
 def test_weights():
     d = np.array([[1.0, 1.2, 2.0, 5.0], [0.3, np.inf, np.inf, np.inf], [1.0, 1.0, np.inf, np.inf]])
     w = graph.weights_of(d, np.array([4, 1, 2]))
