@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from trigrid.functions import leaves as L
+from trigrid.llm import neighbours
 from trigrid.llm.neighbours import Block, Codebook, fewest_copies, mutual_pairs, search
 
 
@@ -50,6 +53,31 @@ def test_mutual_pairs(spark, data, monkeypatch, leaf, block):
     assert got == brute_mutual(ids, x, 3, 0.25)
 
 
+@pytest.mark.parametrize("dims", [2, 6])
+def test_dense_group_across_blocks(monkeypatch, dims):
+    """A vector's nearest foreign queries come out though it isn't near the top for them: true and no false pairs in a dense group over blocks."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((900, 6))
+    x[:, :dims] = rng.exponential(0.02, (900, dims))
+    ids = rng.permutation(900)
+    leaves = L.Leaves(x, 900, 10**6)
+    leaves.blocks[:] = 3
+    book = Codebook(x - leaves.c[leaves.own])
+    monkeypatch.setattr(neighbours, "QUERIES", 128)
+    routed = pa.Table.from_batches(list(neighbours._route(leaves, 6, 0.25, True, 4, False)([pa.RecordBatch.from_pydict({"id": pa.array(ids), "vec": pa.array(x.tolist())})])))
+    look = neighbours._look(leaves, book, 6, 3, 0.25, 4, True)
+    near: dict[int, set] = {}
+    for block in range(3):
+        part = look((pa.scalar(0), pa.scalar(block)), routed.filter(pc.equal(routed.column("block"), block)))
+        for a, b, d in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            near.setdefault(a, set()).add((d, b))
+            near.setdefault(b, set()).add((d, a))
+    top = {a: [b for _, b in sorted(v)[:3]] for a, v in near.items()}
+    got = {(a, b) for a in top for b in top[a] if a < b and a in top[b]}
+    want = brute_mutual(ids, x, 3, 0.25)
+    assert got == want
+
+
 def test_unit_vectors(spark, data):
     ids, x = data
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -122,8 +122,12 @@ class Block:
         self.half = (self.u**2).sum(1).astype(np.float32) / 2
         self.codes = book.packed(codes)
 
-    def candidates(self, q: np.ndarray, k: int, radius: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vector, squared distance) of all that may be among the k nearest within the radius."""
+    def candidates(self, q: np.ndarray, k: int, radius: float | None, both: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, squared distance) of all that may be among the k nearest within the radius.
+
+        both: queries (a mask) that may also be among the k nearest, of these queries, of a vector.
+        """
+        foreign = np.zeros(len(q), bool) if both is None else both
         qc = q - self.centre
         size = np.linalg.norm(qc, axis=1).astype(np.float32)
         scan = np.zeros((len(q), len(self.x)), np.float32)
@@ -140,14 +144,30 @@ class Block:
         if len(many) and len(self.x) > k:
             low = scan[many] - 2 * slack[many]
             kth = np.partition(low, len(self.x) - k - 1, axis=1)[:, len(self.x) - k - 1]  # k + 1: the query itself may be among them
-            may[many] &= scan[many] >= kth[:, None]
+            near = scan[many] >= kth[:, None]
+            if foreign.any():  # what a vector's own k-th best upper bound doesn't exclude stays, too
+                f = np.flatnonzero(foreign)
+                d = size[f, None] ** 2 - 2 * scan[f]  # lower bounds of the squared distance
+                last = np.full(len(self.x), np.inf, np.float32)
+                if len(f) > k:
+                    last = np.partition(d + 4 * slack[f], k - 1, axis=0)[k - 1]
+                place = np.full(len(q), -1)
+                place[f] = np.arange(len(f))
+                mine = np.flatnonzero(foreign[many])
+                near[mine] |= d[place[many[mine]]] <= last
+            may[many] &= near
         n = may.sum(1)
         dense = np.flatnonzero(n > max(16 * k, DENSE * len(self.x)))
         out = []
         if len(dense):
             d = squared(qc[dense], self.u)
             far = np.partition(d, min(k + 4, d.shape[1] - 1), axis=1)[:, min(k + 4, d.shape[1] - 1)]
-            r, c = np.nonzero(d <= far[:, None] * (1 + 1e-9) + 1e-9)
+            near = d <= far[:, None] * (1 + 1e-9) + 1e-9
+            f = np.flatnonzero(foreign[dense])
+            if len(f):
+                last = np.partition(d[f], min(k, len(f)) - 1, axis=0)[min(k, len(f)) - 1]
+                near[f] |= d[f] <= last * (1 + 1e-9) + 1e-9
+            r, c = np.nonzero(near)
             out.append((dense[r], c))
             may[dense] = False
         out.append(np.nonzero(may))
@@ -167,7 +187,7 @@ class Block:
         """
         a, b, dist = [], [], []
         for s in range(0, len(q), QUERIES):
-            r, c, d = self.candidates(q[s : s + QUERIES], k, radius)
+            r, c, d = self.candidates(q[s : s + QUERIES], k, radius, None if both is None else both[s : s + QUERIES])
             n = self.n_ids[c]
             each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             x, y, d = np.repeat(r, n) + s, self.ids[np.repeat(self.first[c], n) + each], np.repeat(d, n)

@@ -44,7 +44,8 @@ def _vectors(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, int, ob
             return df.where(usable("vec", size, True)).withColumn("vec", F.transform("vec", lambda x: F.log(x)))
         return df.where(usable("vec", size) & F.exists("vec", lambda x: x != 0))
 
-    return clean(current_rows(raw, ["id"], "at", ["vec"])), raw.count(), sample_of(clean(raw), "vec", ["id", "at"], size)
+    total = raw.count()
+    return clean(current_rows(raw, ["id"], "at", ["vec"])), total, sample_of(clean(raw), "vec", ["id", "at"], size, total)
 
 
 def _log_theta(spark: SparkSession, d: str) -> tuple[DataFrame, int, object]:
