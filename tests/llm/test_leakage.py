@@ -76,6 +76,35 @@ def test_an_edit_within_the_passage(spark):
     assert rows[3]["score"] == len(item)
 
 
+def test_near_passages_of_every_length(spark, tmp_path):
+    """p7_near gives short and long passages with an edit anywhere in them, and no long part of less than 12 words."""
+    from trigrid.llm.queries import p7_near
+
+    short = "to be or not to be it is the old dog so"
+    long = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
+    mixed = "a b c d e f g h i j k l internationalisation telecommunications characteristically responsibilities"
+    docs = [(1, f"x {short} y"), (2, f"x {short.replace('dog', 'dig')} y"), (3, "x " + long.replace("bravo", "bravq") + " y"), (4, "x " + long.replace("kilo", "kil") + " y")]
+    docs += [(5, "x " + long.replace("golf", "golff") + " y"), (6, "x " + long.replace("bravo", "brrrr") + " y"), (7, "internationalisation telecommunications characteristically"), (8, "x tu be ur not to be it is the old dog so")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, short), (2, long), (3, mixed)], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in p7_near(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2)}
+
+
+def test_near_against_edit_distance():
+    rng = random.Random(3)
+    for _ in range(300):
+        doc, run = "".join(rng.choice("ab") for _ in range(rng.randrange(0, 14))), "".join(rng.choice("ab") for _ in range(rng.randrange(4, 9)))
+        row = [0] * (len(doc) + 1)
+        for i, x in enumerate(run):
+            new = [i + 1]
+            for j, y in enumerate(doc):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        for edits in (0, 1, 2):
+            assert leakage.near(doc, run, edits) == (min(row) <= edits)
+
+
 def test_alignment_against_whole_matrix():
     """The banded score is that of the full local alignment where the band holds it."""
     rng = np.random.default_rng(1)

@@ -4,7 +4,8 @@ Texts are compared as their words joined by single blanks. A passage is a run of
 least number of characters that such a run of the item has. A passage that is found in a document with at most `edits`
 edits shares at least length + 1 - q * (edits + 1) q-grams with it, all within a band of edits + 1
 diagonals (the q-gram lemma). Bands of 2 * (edits + 1) diagonals that overlap by half hold any such band as a whole, so
-no region that meets the bound is lost. The regions kept are aligned in a band around their diagonals.
+no region that meets the bound is lost. The regions kept are aligned in a band around their diagonals, and where no run
+is held exactly, the runs themselves are looked for with the edits.
 """
 
 from __future__ import annotations
@@ -129,6 +130,33 @@ def aligned(codes: np.ndarray, other: np.ndarray, start: np.ndarray, end: np.nda
     return best
 
 
+def near(doc: str, run: str, edits: int) -> bool:
+    """Whether run is a part of doc but for at most `edits` edits of characters: of edits + 1 pieces of it one is there unchanged."""
+    cut = [len(run) * i // (edits + 1) for i in range(edits + 2)]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        at = doc.find(run[a:b])
+        while at >= 0:
+            low = at - a - edits
+            row = [0 if 0 <= low + c <= len(doc) else edits + 1 for c in range(2 * edits + 1)]  # by diagonal; the run may begin on any
+            for i, x in enumerate(run):
+                new = []
+                for c in range(2 * edits + 1):
+                    p = low + c + i  # the character of doc on this diagonal
+                    least = row[c] + (doc[p] != x) if 0 <= p < len(doc) else edits + 1
+                    if c + 1 < len(row) and 0 <= p + 1 <= len(doc):
+                        least = min(least, row[c + 1] + 1)
+                    if c and 0 <= p < len(doc):
+                        least = min(least, new[c - 1] + 1)
+                    new.append(least)
+                row = new
+                if min(row) > edits:
+                    break
+            else:
+                return True
+            at = doc.find(run[a:b], at + 1)
+    return False
+
+
 def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = pack
@@ -147,7 +175,7 @@ def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q
                 d, i, low, first, last = regions(doc, pos, index.item[k], index.at[k], q, index.need, edits)
                 score = np.zeros(len(d), np.int64)
                 order = np.argsort(last - first, kind="stable")
-                slack = edits + 1
+                slack = edits * (q + 1) + 1  # before the first and after the last hit there is room for an edit and less than q characters, for each edit
                 for c in range(0, len(order), REGIONS):
                     r = order[c : c + REGIONS]
                     start = np.maximum(first[r] - slack, begin[d[r]])
@@ -163,8 +191,8 @@ def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q
                         w = docs[a].split(" ")
                         split[a] = [" ".join(w[x : x + n_words]) for x in range(len(w) - n_words + 1)]
                     shared = sum(x in runs[b] for x in split[a])
-                    out.append((doc_ids[a], int(index.ids[b]), s, shared))
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(4)], names=["doc_id", "item_id", "score", "shared_runs"])
+                    out.append((doc_ids[a], int(index.ids[b]), s, shared, bool(shared) or any(near(docs[a], x, edits) for x in runs[b])))
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64() if c < 4 else pa.bool_()) for c in range(5)], names=["doc_id", "item_id", "score", "shared_runs", "near"])
 
         doc_ids: list = []
         docs: list[str] = []
@@ -204,16 +232,16 @@ def pack_items(items: DataFrame, item_id: str, text: str, n_words: int, most: in
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n_words: int = WORDS, edits: int = EDITS, q: int = Q) -> DataFrame:
-    """(doc_id, item_id, score, shared_runs): documents with a passage of an item, found with at most `edits` edits in it.
+    """(doc_id, item_id, score, shared_runs, near): documents with a passage of an item, found with at most `edits` edits in it.
 
     score is that of the best alignment: the characters in common, less 2 for each edit. shared_runs is the number of windows of n_words words that are exactly in both: 0 where the passage is only nearly
-    the same. An item of fewer words has no passage. Null and empty texts share nothing; copies of a row
+    the same. near: a whole run of n_words words is there with at most `edits` edits of characters, whatever its length. An item of fewer words has no passage. Null and empty texts share nothing; copies of a row
     come out once each, an item_id with several texts is one item for each. Only the items are sent to the tasks, in rounds of bounded size; documents are never shuffled.
     """
     if 2 * n_words - 1 < edits + 1:
         raise ValueError("too many edits for so few words")
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, score long, shared_runs long"
+    schema = "doc_id long, item_id long, score long, shared_runs long, near boolean"
     out = None
     for pack in pack_items(items, item_id, text, n_words):
         part = rows.mapInArrow(_search(pack, n_words, edits, q), schema)
