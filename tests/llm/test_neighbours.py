@@ -78,6 +78,19 @@ def test_dense_group_across_blocks(monkeypatch, dims):
     assert got == want
 
 
+def test_groups_of_few_directions(spark, monkeypatch):
+    """By default nothing is lost where near vectors of many dimensions vary in few, across leaves."""
+    make = L.Leaves.__init__
+    monkeypatch.setattr(L.Leaves, "__init__", lambda self, sample, total, **_: make(self, sample, total, 20, 4096))
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 3, 24) + rng.normal(0, 0.15, (250, 2)) @ np.linalg.qr(rng.normal(0, 1, (24, 2)))[0].T for _ in range(4)])
+    ids = rng.permutation(len(x)) + 1
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "id long, vec array<double>").repartition(4)
+    got = {(r["id_a"], r["id_b"]) for r in mutual_pairs(df, 24, 3, 0.05, len(x), x).collect()}
+    want = brute_mutual(ids, x, 3, 0.05)
+    assert got == want
+
+
 def test_unit_vectors(spark, data):
     ids, x = data
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

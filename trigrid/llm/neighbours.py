@@ -294,13 +294,13 @@ def _look(leaves: Leaves, book: Codebook, size: int, k: int, radius: float | Non
     return run
 
 
-def mutual_pairs(rows: DataFrame, size: int, k: int, radius: float, total: int, sample: np.ndarray, unit: bool = False, lossless: bool = False) -> DataFrame:
+def mutual_pairs(rows: DataFrame, size: int, k: int, radius: float, total: int, sample: np.ndarray, unit: bool = False, lossless: bool = True) -> DataFrame:
     """(id_a, id_b, d2), id_a < id_b: pairs where each is among the other's k nearest (ties: smaller id), within the radius.
 
     rows: id (unique), vec (arrays of `size` finite doubles). unit: vectors are scaled to length 1 first. Of equal vectors
     only the k + 1 smallest ids can be in such a pair, so no more of them are routed, whatever the number of copies. Every
-    vector goes to its leaf's block and to the blocks that its radius touches (lossless), or those that it touches but for
-    SIGMAS standard deviations of a random direction: a loss of about one pair in a thousand that lie in different leaves.
+    vector goes to its leaf's block and to the blocks that its radius touches: nothing is lost. lossless=False cuts the radius to SIGMAS
+    standard deviations of a random direction, which loses pairs of neighbours that vary in few directions.
     """
     if unit:
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
