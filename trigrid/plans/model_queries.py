@@ -172,7 +172,7 @@ def b3_cbind_sets(spark: SparkSession, d: str) -> DataFrame:
     m = v.matrix_set(spark, d)
     counts = y(spark, d)
     part = lambda cond: MatrixSet(counts.join(m.cols.where(cond).select("col_id"), "col_id", "left_semi"), m.rows, m.cols.where(cond))
-    return bulk.random_bulk_cbind_sets({"known": part("batch <> 'none'"), "none": part("batch = 'none'")}, 5, knn=3, iterations=10)[0].bulk
+    return bulk.random_bulk_cbind_sets({"known": part("batch <> 'none'"), "none": part("batch = 'none'")}, 5, knn=3)[0].bulk
 
 
 @query()
@@ -243,7 +243,7 @@ def r1_regression(spark: SparkSession, d: str) -> DataFrame:
 def r10_regression_delta(spark: SparkSession, d: str) -> DataFrame:
     """All defaults, with the correlations of two batch effects regressed out."""
     delta = v.dictionary(spark, d, 2).withColumn("v", F.transform("v", lambda x: x / 2))
-    return recal.pmf_regression(y(spark, d), v.dictionary(spark, d), K, delta, 2, iterations=3).select("id", "theta", "corr", "ysum")
+    return recal.pmf_regression(y(spark, d), v.dictionary(spark, d), K, delta, 2).select("id", "theta", "corr", "ysum")
 
 
 @query()
@@ -251,7 +251,7 @@ def r3_regression_cbind(spark: SparkSession, d: str) -> DataFrame:
     """Cells with and without a known batch as two matrices."""
     c, cells = y(spark, d), v.cells(spark, d)
     part = lambda cond: c.join(cells.where(cond).select("col_id"), "col_id", "left_semi")
-    return recal.pmf_regression_cbind({"known": part("batch <> 'none'"), "none": part("batch = 'none'")}, v.dictionary(spark, d), K, iterations=2).select("batch", "id", "theta")
+    return recal.pmf_regression_cbind({"known": part("batch <> 'none'"), "none": part("batch = 'none'")}, v.dictionary(spark, d), K).select("batch", "id", "theta")
 
 
 _LX = f"{v.long_loadings()}, {X}, cs AS (SELECT id, max(struct_pack(a := fitted_at, b := log_theta, c := colsum)).c AS colsum FROM loading GROUP BY id), r AS (SELECT l.id, k, v AS lp, colsum AS ysum FROM l JOIN cs ON cs.id = l.id WHERE colsum IS NOT NULL AND k <= {K})"
@@ -370,34 +370,34 @@ def _frame(spark: SparkSession, g: pmf.Gamma, kind: str) -> DataFrame:
 
 @query()
 def f1_fit(spark: SparkSession, d: str) -> DataFrame:
-    f = pmf.fit(_pb(spark, d), 5, 30)
+    f = pmf.fit(_pb(spark, d), 5)
     return _frame(spark, f.beta, "beta").unionByName(_frame(spark, f.theta, "theta"))
 
 
 @query()
 def f2_fit_cbind(spark: SparkSession, d: str) -> DataFrame:
     p = _pb(spark, d)
-    f = pmf.fit_cbind([p[:, 0::2], p[:, 1::2]], 4, 20)
+    f = pmf.fit_cbind([p[:, 0::2], p[:, 1::2]], 4)
     return _frame(spark, f.beta, "beta").unionByName(_frame(spark, f.theta[0], "theta1")).unionByName(_frame(spark, f.theta[1], "theta2"))
 
 
 @query()
 def f3_fit_rbind(spark: SparkSession, d: str) -> DataFrame:
     p = _pb(spark, d)
-    f = pmf.fit_rbind([p[0::2], p[1::2]], 4, 20)
+    f = pmf.fit_rbind([p[0::2], p[1::2]], 4)
     return _frame(spark, f.theta, "theta").unionByName(_frame(spark, f.beta[0], "beta1")).unionByName(_frame(spark, f.beta[1], "beta2"))
 
 
 @query()
 def f4_fit_delta(spark: SparkSession, d: str) -> DataFrame:
     p = _pb(spark, d)
-    f = pmf.fit_delta(p, [p * 2, np.sqrt(p)], 4, 20)
+    f = pmf.fit_delta(p, [p * 2, np.sqrt(p)], 4)
     return _frame(spark, f.beta, "beta").unionByName(_frame(spark, f.delta[0], "delta1")).unionByName(_frame(spark, f.delta[1], "delta2"))
 
 
 @query()
 def f5_fit_larch(spark: SparkSession, d: str) -> DataFrame:
-    f = pmf.fit_larch(_pb(spark, d), 2, 20)
+    f = pmf.fit_larch(_pb(spark, d), 2)
     return _frame(spark, f.beta, "beta").unionByName(_frame(spark, f.theta, "theta"))
 
 
@@ -466,7 +466,7 @@ def c1_cluster_rows(spark: SparkSession, d: str) -> DataFrame:
     n = bulk.batch_sums(v.counts(spark, d), c, v.buckets(spark, d))[1]
     names = [r[0] for r in n.select("batch").distinct().orderBy("batch").collect()]
     rows = n.groupBy(F.col("positions").alias("id")).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("batch") == b, F.col("n").cast("double"))), F.lit(0.0)) for b in names]).alias("v"))
-    return cluster.cluster_rows(rows, 5, 2, mcmc=20, burnin=5)
+    return cluster.cluster_rows(rows, 5, 2)
 
 
 @query(f"WITH {BUCKETS} SELECT positions, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, positions) AS rank FROM b WHERE positions IS NOT NULL GROUP BY positions")
