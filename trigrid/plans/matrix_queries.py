@@ -206,25 +206,26 @@ def proj2_all_names(spark: SparkSession, d: str) -> DataFrame:
     return select.common_names([v.table(spark, d, "matrix_rows"), s2_rownames(spark, d)], union=True)
 
 
+#: SQL, and the column that is built once there is a session.
 _MAPS = {
-    "log1p": ("ln(1e0 + greatest(value, 0))", F.log1p(sp.at_least(F.col("value"), 0.0))),
-    "safe_log": ("ln(greatest(value, 1e-8))", sp.safe_log(F.col("value"))),
-    "safe_sqrt": ("sqrt(greatest(value, 0))", sp.safe_sqrt(F.col("value"))),
-    "safe_div": ("(value + 1e0) / (2e0 + 1e0)", sp.safe_div(F.col("value"), F.lit(2.0), 1.0, 1.0)),
-    "clamped": ("least(greatest(value, -2e0), 2e0)", sp.clamp(F.col("value"), -2.0, 2.0)),
-    "at_least_one": ("greatest(value, 1e0)", sp.at_least(F.col("value"), 1.0)),
-    "positive": ("CASE WHEN value > 0 THEN 1e0 ELSE 0e0 END", sp.is_positive(F.col("value"))),
-    "pseudo": ("value + 0.5e0", sp.add_pseudo(F.col("value"), 0.5)),
-    "softplus": ("greatest(value, 0) + ln(1e0 + exp(-abs(value)))", sp.softplus(F.col("value"))),
-    "sigmoid": ("CASE WHEN value >= 0 THEN 1e0 / (1e0 + exp(-abs(value))) ELSE exp(-abs(value)) / (1e0 + exp(-abs(value))) END", sp.sigmoid(F.col("value"))),
-    "lse": ("greatest(value, 1e0) + ln(1e0 + exp(-abs(value - 1e0)))", sp.log_sum_exp(F.col("value"), F.lit(1.0))),
-    "psi": (sp.digamma_sql("abs(value) + 0.5e0"), sp.digamma(F.abs("value") + 0.5)),
+    "log1p": ("ln(1e0 + greatest(value, 0))", lambda: F.log1p(sp.at_least(F.col("value"), 0.0))),
+    "safe_log": ("ln(greatest(value, 1e-8))", lambda: sp.safe_log(F.col("value"))),
+    "safe_sqrt": ("sqrt(greatest(value, 0))", lambda: sp.safe_sqrt(F.col("value"))),
+    "safe_div": ("(value + 1e0) / (2e0 + 1e0)", lambda: sp.safe_div(F.col("value"), F.lit(2.0), 1.0, 1.0)),
+    "clamped": ("least(greatest(value, -2e0), 2e0)", lambda: sp.clamp(F.col("value"), -2.0, 2.0)),
+    "at_least_one": ("greatest(value, 1e0)", lambda: sp.at_least(F.col("value"), 1.0)),
+    "positive": ("CASE WHEN value > 0 THEN 1e0 ELSE 0e0 END", lambda: sp.is_positive(F.col("value"))),
+    "pseudo": ("value + 0.5e0", lambda: sp.add_pseudo(F.col("value"), 0.5)),
+    "softplus": ("greatest(value, 0) + ln(1e0 + exp(-abs(value)))", lambda: sp.softplus(F.col("value"))),
+    "sigmoid": ("CASE WHEN value >= 0 THEN 1e0 / (1e0 + exp(-abs(value))) ELSE exp(-abs(value)) / (1e0 + exp(-abs(value))) END", lambda: sp.sigmoid(F.col("value"))),
+    "lse": ("greatest(value, 1e0) + ln(1e0 + exp(-abs(value - 1e0)))", lambda: sp.log_sum_exp(F.col("value"), F.lit(1.0))),
+    "psi": (sp.digamma_sql("abs(value) + 0.5e0"), lambda: sp.digamma(F.abs("value") + 0.5)),
 }
 
 
 @query(f"WITH {M} SELECT row_id, col_id, " + ", ".join(f"round({s}, 4) + 0e0 AS {n}" for n, (s, _) in _MAPS.items()) + " FROM m")
 def proj3_scalar_maps(spark: SparkSession, d: str) -> DataFrame:
-    return v.coo(spark, d).select("row_id", "col_id", *[rounded(c).alias(n) for n, (_, c) in _MAPS.items()])
+    return v.coo(spark, d).select("row_id", "col_id", *[rounded(c()).alias(n) for n, (_, c) in _MAPS.items()])
 
 
 @query("SELECT count(*) AS n, CAST(sum(CASE WHEN value IS NOT NULL AND isfinite(value) THEN 1 ELSE 0 END) AS BIGINT) AS n_obs, round(sum(CASE WHEN value IS NOT NULL AND isfinite(value) THEN value ELSE 0 END), 3) AS total FROM coo")
@@ -345,7 +346,7 @@ def a16_running_stat(spark: SparkSession, d: str) -> DataFrame:
     """colsum over the fits of a cell."""
     s = v.table(spark, d, "loading").where("colsum IS NOT NULL")
     r = stats.running_stat(s, ["id"], "colsum").select("id", *[F.round(c, 4).alias(c) for c in ("mean", "var", "sd")])
-    return r.join(s.groupBy("id").agg(F.count("*").alias("n")), "id")
+    return r.join(s.groupBy("id").agg(F.count("*").alias("n")), "id").select("id", "n", "mean", "var", "sd")
 
 
 @query(f"WITH {v.long_loadings()}, {v.softmax_sql('l', 'z')} {wide_sql('z', 'id', 10, 'lp')}")

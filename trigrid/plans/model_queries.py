@@ -194,9 +194,9 @@ def _stat(spark: SparkSession, d: str) -> DataFrame:
     return recal.pmf_stat(v.counts(spark, d), v.dictionary(spark, d), K, False)
 
 
-@query(f"WITH {_R8} {wide_sql('r', 'id, ysum', K, 'lp', 'r')}")
+@query(f"WITH {_R8} {wide_sql('r', 'id, round(ysum, 4)', K, 'lp', 'r').replace('SELECT id, round(ysum, 4)', 'SELECT id, round(ysum, 4) AS ysum')}")
 def r8_stat(spark: SparkSession, d: str) -> DataFrame:
-    return wide(_stat(spark, d), ["id", "ysum"], "v", K, "r")
+    return wide(_stat(spark, d).withColumn("ysum", F.round("ysum", 4)), ["id", "ysum"], "v", K, "r")
 
 
 _XS = f"{Y}, {X}, {v.clip_sql('x', 'xc')}, {v.standard_sql('xc', 'xz', 'row_id')}, s AS (SELECT col_id AS id, k, sum(value * z) / greatest(sum(value), 1e0) AS v, sum(value) AS ysum FROM y JOIN xz USING (row_id) GROUP BY col_id, k), {v.softmax_sql('s', 'r')}"
