@@ -51,7 +51,8 @@ def _vectors(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, int, ob
 def _log_theta(spark: SparkSession, d: str) -> tuple[DataFrame, int, object]:
     raw = spark.read.parquet(f"{d}/loading.parquet").select("id", F.col("fitted_at").alias("at"), F.col("log_theta").alias("vec"))
     clean = lambda df: df.where(usable("vec", 10))
-    return clean(current_rows(raw, ["id"], "at", ["vec"])), raw.count(), sample_of(clean(raw), "vec", ["id", "at"], 10)
+    total = raw.count()
+    return clean(current_rows(raw, ["id"], "at", ["vec"])), total, sample_of(clean(raw), "vec", ["id", "at"], 10, total)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
