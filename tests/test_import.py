@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -12,3 +13,17 @@ def test_entry_imports_without_a_session(tmp_path):
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(s) <= set(q); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(ROOT), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert run.returncode == 0, run.stderr
+
+
+def test_workers_get_the_package(tmp_path):
+    """A session started elsewhere, with the package on the driver's path only, runs queries with Python workers."""
+    code = f"""import sys
+sys.path.insert(0, {str(ROOT)!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["p5_found"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr[-2000:]

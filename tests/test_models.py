@@ -16,7 +16,7 @@ def coo_of(spark, y):
 
 
 def dictionary_of(spark, x):
-    return spark.createDataFrame(pd.DataFrame({"row_id": np.arange(1, len(x) + 1), "v": list(x)}))
+    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(np.asarray(x, float).tolist())], "row_id long, v array<double>")
 
 
 def arrays(df, key="id", v="v"):
@@ -67,7 +67,7 @@ def test_half_steps_agree_with_numpy(spark):
     beta, theta = pmf.Gamma(60, k, 1, 1), pmf.Gamma(80, k, 1, 1)
     beta.set(rng.gamma(1, 1, beta.shape), np.ones(beta.shape))
     theta.set(rng.gamma(1, 1, theta.shape), np.ones(theta.shape))
-    to = lambda g, key: spark.createDataFrame(pd.DataFrame({key: np.arange(1, len(g.a) + 1), "a": list(g.a), "b": list(g.b)}))
+    to = lambda g, key: spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(g.a.tolist(), g.b.tolist(), strict=True))], f"{key} long, a array<double>, b array<double>")
     coo = coo_of(spark, y)
     for stdize in (False, True):
         got = pmf.half_step(coo, "col_id", "row_id", to(beta, "row_id"), to(theta, "col_id"), k, stdize)
@@ -202,7 +202,9 @@ def test_adjustment_agrees_with_numpy(spark):
 
 
 def points(spark, x, **more):
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(1, len(x) + 1), "v": list(x), **more})).repartition(3)
+    extra = [np.asarray(c).tolist() for c in more.values()]
+    rows = list(zip(range(1, len(x) + 1), np.asarray(x, float).tolist(), *extra, strict=True))
+    return spark.createDataFrame(rows, ", ".join(["id long", "v array<double>", *(f"{c} string" for c in more)])).repartition(3)
 
 
 def test_neighbours_exact(spark):

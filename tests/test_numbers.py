@@ -3,7 +3,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from trigrid.operators import linalg, normalize
 
 
 def frame(spark, x, ids=None):
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)) if ids is None else ids, "v": list(np.asarray(x, float))})).repartition(3)
+    return spark.createDataFrame(list(zip(range(len(x)) if ids is None else np.asarray(ids).tolist(), np.asarray(x, float).tolist(), strict=True)), "id long, v array<double>").repartition(3)
 
 
 def array(df, v="v"):

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +20,7 @@ SALTS = 16
 
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="trigrid-")
+        atexit.register(shutil.rmtree, _OWN_DIR[app], ignore_errors=True)
     return "file://" + _OWN_DIR[app]
 
 
@@ -106,3 +113,25 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     base = counts.select("__part", (F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + (start - 1)).alias("__base"))  # one row a partition
     w = W.partitionBy("__part").orderBy(*order)
     return ranged.join(F.broadcast(base), "__part").withColumn(name, F.row_number().over(w) + F.col("__base")).drop("__part", "__base")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application: a session may have been started where they can't import it.
+
+    The archive is written to the shared folder and handed out by Spark, so that executors that join later get it, too.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    at = f"{shared_dir(spark)}/trigrid-package-{uuid.uuid4().hex}/trigrid.zip"
+    package = Path(__file__).resolve().parent
+    held_ = io.BytesIO()
+    with zipfile.ZipFile(held_, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, f"{package.name}/{p.relative_to(package)}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(held_.getvalue()))
+    out.close()
+    sc.addPyFile(at)
+    _SHIPPED.add(sc.applicationId)
