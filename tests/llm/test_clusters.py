@@ -40,7 +40,7 @@ def brute(ids, x, radius, least=3):
 
 
 def frame(spark, ids, x):
-    return spark.createDataFrame(pd.DataFrame({"id": ids, "vec": list(x), "cluster_id": "clash"})).repartition(3)
+    return spark.createDataFrame([(i, v, "clash") for i, v in zip(ids.tolist(), x.tolist(), strict=True)], "id long, vec array<double>, cluster_id string").repartition(3)
 
 
 @pytest.mark.parametrize(("leaf", "block", "local"), [(1536, 4096, 2_000_000), (40, 30, 2_000_000), (40, 30, 30)])

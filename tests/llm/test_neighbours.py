@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -26,7 +25,7 @@ def data():
 
 
 def frame(spark, ids, x):
-    return spark.createDataFrame(pd.DataFrame({"id": ids, "vec": list(x), "leaf": "clash"})).repartition(4)
+    return spark.createDataFrame([(i, v, "clash") for i, v in zip(ids.tolist(), x.tolist(), strict=True)], "id long, vec array<double>, leaf string").repartition(4)
 
 
 def brute_top(ids, x, k):
@@ -94,8 +93,7 @@ def test_groups_of_few_directions(spark, monkeypatch):
 def test_unit_vectors(spark, data):
     ids, x = data
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    scaled = x * np.random.default_rng(1).uniform(0.1, 9, (len(x), 1)) if False else x
-    got = {(r["id_a"], r["id_b"]) for r in mutual_pairs(frame(spark, ids, scaled), 6, 3, 0.2, len(x), x, unit=True, lossless=True).collect()}
+    got = {(r["id_a"], r["id_b"]) for r in mutual_pairs(frame(spark, ids, x), 6, 3, 0.2, len(x), x, unit=True, lossless=True).collect()}
     assert got == brute_mutual(ids, u, 3, 0.2)
 
 
