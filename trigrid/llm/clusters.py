@@ -230,7 +230,7 @@ def described(members: DataFrame, rows: DataFrame, size: int, top: int = 3) -> D
     m, _ = materialize(members.join(rows.select("id", "vec"), "id"), "members")
     means = m.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array(*[F.avg(F.col("vec")[i]) for i in range(size)]).alias("mean"))
     means, _ = materialize(means, "means")
-    d = F.aggregate(F.zip_with("vec", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y)
+    d = F.round(F.aggregate(F.zip_with("vec", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y), 12)  # ties by id, not by the last bit
     far = lookup_join(m, means, ["cluster_id"], "inner").select("cluster_id", "id", "size", d.alias("d"))
     best = far.withColumn("typical_rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("d", "id"))).where(F.col("typical_rank") <= top)
     return far.select("cluster_id", "id", "size").join(best.select("id", "typical_rank"), "id", "left").select("cluster_id", "id", "size", "typical_rank")
