@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trigrid.llm.repetition import repetition
+from trigrid.llm.repetition import repeated_windows, repetition
 from trigrid.llm.words import words
 
 SCHEMA = "doc_id long, text string"
@@ -49,11 +51,45 @@ def test_against_brute_force(spark, rows):
     assert any(r["repetitive"] for r in got) and any(r["n_windows"] * 3 == r["n_repeated"] * 10 for r in got)
 
 
-def test_structure_falls_with_the_share(spark, rows):
-    got = [r for r in repetition(spark.createDataFrame(rows, SCHEMA)).collect() if r["n_windows"]]
-    got.sort(key=lambda r: r["share"])
-    assert all(a["llr_structure"] >= b["llr_structure"] - 1e-9 for a, b in zip(got, got[1:], strict=False))
-    assert all(r["llr"] is not None for r in got)
+@pytest.mark.parametrize("buckets", [7, 65_536])
+def test_ratio_against_brute_force(spark, rows, buckets):
+    """The ratio is that of the two multinomials, no document above the share is missed by the threshold, and equal shares may differ in it."""
+    from trigrid.llm.repetition import SMOOTH
+    from trigrid.llm.words import Vocabulary, window_hashes
+
+    features = []
+    raw, target = {}, {}
+    for _, t in rows:
+        w = words(t)
+        at = (window_hashes(Vocabulary().hashes(w), 4) % buckets).tolist()
+        seen, own = set(), []
+        for i, b in enumerate(at):
+            x = tuple(w[i : i + 4])
+            own.append((b, x in seen))
+            raw[own[-1]] = raw.get(own[-1], 0) + 1
+            if x not in seen:
+                target[own[-1]] = target.get(own[-1], 0) + 1
+            seen.add(x)
+        features.append(own)
+    all_raw, all_target = (sum(x.values()) + 2 * buckets * SMOOTH for x in (raw, target))
+    p = lambda f: math.log((target.get(f, 0) + SMOOTH) / all_target) - math.log((raw.get(f, 0) + SMOOTH) / all_raw)
+    want = sorted(round(sum(map(p, f)) / len(f), 9) for f in features if f)
+    got = [r for r in repetition(spark.createDataFrame(rows, SCHEMA).repartition(3), buckets=buckets).collect() if r["n_windows"]]
+    assert np.allclose(sorted(r["llr"] for r in got), want)
+    assert all(r["suspect"] for r in got if 10 * r["n_repeated"] >= 3 * r["n_windows"])
+    assert any(not r["suspect"] for r in got)
+    if buckets > 7:
+        shares = {}
+        for r in got:
+            shares.setdefault(r["share"], set()).add(round(r["llr"], 9))
+        assert any(len(x) > 1 for s, x in shares.items() if s > 0)
+
+
+def test_repeated_windows_of_a_long_text():
+    rng = random.Random(1)
+    for v in (3, 70_000):
+        w = [str(rng.randrange(v)) for _ in range(90_000)]
+        assert repeated_windows(w, 4).sum() == brute(" ".join(w))[1]
 
 
 def test_a_corpus_without_repetition_or_rows(spark):
