@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trigrid.runtime import materialize, release
+
 #: Terms that are counted in local arrays: at most so many, of at most so many bytes, each with at least this share of all rows.
 HEAVY_TERMS, HEAVY_BYTES, HEAVY_SHARE = 4096, 256, 1e-3
 #: Counters a task keeps while it looks for heavy terms.
@@ -23,46 +25,44 @@ def joined_words(line: Column, words: int = 2, sep: str = "_") -> Column:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Misra-Gries counters of a split's terms: every term with a share above 1 / COUNTERS of the split stays."""
+    """Misra-Gries counters of a split's short terms: every term with a share above 1 / COUNTERS of the split stays. The null term counts all rows."""
     kept: dict[str, int] = {}
+    rows = 0
     for b in batches:
-        for term, n in ((x["values"], x["counts"]) for x in pc.value_counts(b.column("term")).to_pylist()):
-            kept[term] = kept.get(term, 0) + n
+        term = b.column("term")
+        rows += len(term)
+        term = term.filter(pc.less_equal(pc.binary_length(term), HEAVY_BYTES))
+        for name, n in ((x["values"], x["counts"]) for x in pc.value_counts(term).to_pylist()):
+            kept[name] = kept.get(name, 0) + n
         if len(kept) > 2 * COUNTERS:
             cut = sorted(kept.values(), reverse=True)[COUNTERS]
             kept = {t: n - cut for t, n in kept.items() if n > cut}
-    if kept:
-        top = sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:COUNTERS]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["term", "n"])
+    top = sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:COUNTERS]
+    top = [(t, n) for t, n in top if n > 1 or len(top) < COUNTERS]  # in a split of many terms what occurs once isn't heavy
+    yield pa.RecordBatch.from_arrays([pa.array([None, *(t for t, _ in top)], pa.string()), pa.array([rows, *(n for _, n in top)], pa.int64())], names=["term", "n"])
 
 
-def heavy_terms(pairs: DataFrame) -> list[str]:
-    """Terms found to be frequent: sorted, at most HEAVY_TERMS. Which ones are taken affects speed only, never a count."""
-    total = pairs.count()
-    short = pairs.where(F.octet_length("term") <= HEAVY_BYTES).select("term")
-    found = short.mapInArrow(_candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, HEAVY_SHARE * total))
-    return sorted(r.term for r in found.orderBy(F.desc("n"), "term").limit(HEAVY_TERMS).collect())
+def heavy_terms(terms: DataFrame) -> list[str]:
+    """Terms found to be frequent: sorted, at most HEAVY_TERMS. Which ones are taken affects speed only, never a count. One pass; bounded counters are shuffled."""
+    found, path = materialize(terms.mapInArrow(_candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "candidates")
+    total = found.where("term IS NULL").agg(F.sum("n")).first()[0] or 0
+    top = found.where(F.col("term").isNotNull() & (F.col("n") >= max(2, HEAVY_SHARE * total))).orderBy(F.desc("n"), "term").limit(HEAVY_TERMS)
+    out = sorted(r.term for r in top.select("term").collect())
+    release(terms.sparkSession, path)
+    return out
 
 
-def _local_counts(heavy: list[str]):
-    """Light rows pass; rows of heavy terms are added into arrays that come out once, at the end of the split."""
+def _local_counts(heavy: int):
+    """Rows (code, lines) of a record's heavy terms are added into arrays that come out once, at the end of the split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = pa.array(heavy, pa.string())
-        lines, records = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
+        lines, records = np.zeros(heavy, np.int64), np.zeros(heavy, np.int64)
         for b in batches:
-            code = pc.index_in(b.column("term"), terms)
-            light = pc.is_null(code)
-            at = code.drop_null().to_numpy()
-            n = b.column("lines").filter(pc.invert(light)).to_numpy()
-            lines += np.bincount(at, n, len(heavy)).astype(np.int64)
-            records += np.bincount(at, minlength=len(heavy))
-            rest = b.filter(light)
-            if rest.num_rows:
-                yield pa.RecordBatch.from_arrays([rest.column("term"), rest.column("lines"), pa.array(np.ones(rest.num_rows, np.int64))], names=["term", "lines", "records"])
+            code = b.column("code").to_numpy()
+            lines += np.bincount(code, b.column("lines").to_numpy(), heavy).astype(np.int64)
+            records += np.bincount(code, minlength=heavy)
         at = np.flatnonzero(records)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([terms.take(pa.array(at)), pa.array(lines[at]), pa.array(records[at])], names=["term", "lines", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(lines[at]), pa.array(records[at])], names=["code", "lines", "records"])
 
     return run
 
@@ -70,16 +70,34 @@ def _local_counts(heavy: list[str]):
 def term_frequencies(df: DataFrame, term: Column, record: str, line: list[str]) -> DataFrame:
     """For every term that isn't null: term, n_lines, n_records.
 
-    A line is a distinct (record, *line, term), so copied rows count once; records with a null id hold lines but are no
-    records... they count as one unnamed record. The pairs (record, term) are pre-aggregated before each shuffle and
-    spread by both columns. Then heavy terms are added up in exact arrays of each split and come out as one row a split;
-    only the light terms' rows are shuffled one by one. An empty table gives no rows.
+    A line is a distinct (record, *line, term), so copied rows count once; a null record id or line number is one of its own. Heavy
+    terms are found first, by bounded counters over the raw rows, and the rows are split by term before anything is shuffled:
+
+    * heavy: the term becomes a code (the broadcast list is bounded in number and bytes). Copies are dropped by (code, record, line), numbers
+      only, within each split first; what is left, one row for a code and record, is added into exact arrays of each split.
+    * light, of at most HEAVY_BYTES: rows are shuffled once, by term, and counted where they are: no such term is frequent.
+    * longer terms aren't listed: they are shuffled by all columns and reduced step by step, so a frequent one is no hot spot either.
+
+    An empty table gives no rows.
     """
-    lines = df.select(term.alias("term"), F.col(record).alias("record"), *[F.col(c).alias(f"__l{i}") for i, c in enumerate(line)]).where("term IS NOT NULL").distinct()
-    pairs = lines.groupBy("record", "term").agg(F.count("*").alias("lines")).select("term", "lines")
+    spark = df.sparkSession
+    keys = ["record", *(f"__l{i}" for i in range(len(line)))]
+    lines = df.select(term.alias("term"), F.col(record).alias("record"), *[F.col(c).alias(f"__l{i}") for i, c in enumerate(line)]).where("term IS NOT NULL")
     heavy = heavy_terms(lines.select("term"))
-    counted = pairs.mapInArrow(_local_counts(heavy), "term string, lines long, records long")
-    return counted.groupBy("term").agg(F.sum("lines").alias("n_lines"), F.sum("records").alias("n_records"))
+    listed = spark.createDataFrame(list(zip(heavy, range(len(heavy)), strict=True)), "term string, code int")
+    coded = lines.join(F.broadcast(listed), "term", "left")
+    count = lambda x, by: x.groupBy(*by).agg(F.count("*").alias("lines"))
+    total = lambda x, by: x.groupBy(by).agg(F.sum("lines").alias("n_lines"), F.sum("records").alias("n_records"))
+
+    often = count(coded.where("code IS NOT NULL").select("code", *keys).distinct(), ["code", "record"]).select("code", "lines")
+    often = total(often.mapInArrow(_local_counts(len(heavy)), "code int, lines long, records long"), "code")
+    often = often.join(F.broadcast(listed), "code").select("term", "n_lines", "n_records")
+    rest = coded.where("code IS NULL").select("term", *keys)
+    short = F.octet_length("term") <= HEAVY_BYTES
+    out = often
+    for part in (rest.where(short).repartition("term"), rest.where(~short)):
+        out = out.unionByName(total(count(part.distinct(), ["term", "record"]).select("term", "lines", F.lit(1).alias("records")), "term"))
+    return out
 
 
 def with_marks(counts: DataFrame, records: DataFrame, fewest: int = 3, share: float = 0.5) -> DataFrame:
