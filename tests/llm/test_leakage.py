@@ -54,18 +54,44 @@ def test_against_brute_force(spark, texts):
     assert got == brute(docs, items) and len(got) > 50
 
 
-@pytest.mark.parametrize("edits", [0, 2])
-def test_other_budgets_lose_nothing(spark, texts, edits):
+@pytest.mark.parametrize("per_edit", [0, 15])
+def test_other_budgets_lose_nothing(spark, texts, per_edit):
     docs, items = texts
-    got = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items, edits=edits).where("shared_runs > 0").collect()}
-    assert got == brute(docs, items)
+    got = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items, per_edit=per_edit).where("shared_runs > 0").collect()}
+    assert got == brute(docs, items) and len(got) > 50
 
 
-def test_items_in_rounds(spark, texts, monkeypatch):
+def test_edited_passages_of_every_length_are_found(spark):
+    """Runs of 12 words with as many edits as their length allows, anywhere, in one pack and in several."""
+    rng = random.Random(5)
+    words_ = ["".join(rng.choice("abcdeghé") for _ in range(rng.choice([2, 3, 5, 8, 12]))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words_) for _ in range(n))
+    items = [(i, say(rng.randrange(12, 40))) for i in range(30)]
+    docs, planted = [], {}
+    for d in range(120):
+        i, t = rng.choice(items)
+        w = t.split(" ")
+        at = rng.randrange(len(w) - 11)
+        x = list(" ".join(w[at : at + 12]))
+        for _ in range(max(1, len(x) // 30)):
+            at = rng.choice([k for k in range(1, len(x) - 1) if x[k] != " " and x[k - 1] != " "])
+            x[at : at + 1] = rng.choice([["z"], [], ["z", x[at]]])
+        docs.append((d, f"{say(20)} {''.join(x)} {say(20)}"))
+        planted[d] = i
+    for most in (None, 300):
+        with pytest.MonkeyPatch.context() as m:
+            if most:
+                m.setattr(leakage.pack_items, "__defaults__", (most,))
+            got = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items).where("near").collect()}
+        assert set(planted.items()) <= got
+        assert all(any(leakage.near(" ".join(words(docs[d][1])), " ".join(w[k : k + 12]), max(1, len(" ".join(w[k : k + 12])) // 30)) for w in [items[i][1].split(" ")] for k in range(len(w) - 11)) for d, i in got)
+
+
+def test_items_in_packs(spark, texts, monkeypatch):
     monkeypatch.setattr(leakage.pack_items, "__defaults__", (400,))
     docs, items = texts
     got = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items).where("shared_runs > 0").collect()}
-    assert got == brute(docs, items)
+    assert got == brute(docs, items) and len(got) > 50
 
 
 def test_an_edit_within_the_passage(spark):

@@ -1,17 +1,19 @@
 """Evaluation texts in documents: shared character q-grams in overlapping diagonal bands, then banded alignment.
 
-Texts are compared as their words joined by single blanks. A passage is a run of n_words words of an item; `length` is the
-least number of characters that such a run of the item has. A passage that is found in a document with at most `edits`
+Texts are compared as their words joined by single blanks. A passage is a run of n_words words of an item; a passage of `length`
+characters may have one edit for each `per_edit` characters, and one at least. A passage that is found in a document with at most `edits`
 edits shares at least length + 1 - q * (edits + 1) q-grams with it, all within a band of edits + 1
-diagonals (the q-gram lemma). Bands of 2 * (edits + 1) diagonals that overlap by half hold any such band as a whole, so
-no region that meets the bound is lost. The regions kept are aligned in a band around their diagonals, and where no run
-is held exactly, the runs themselves are looked for with the edits.
+diagonals (the q-gram lemma). Bands of twice as many diagonals (for the largest budget) that overlap by half hold any such band as a whole, so
+no region that meets the least bound of an item's passages is lost. The regions kept are aligned in a band around their diagonals, and
+where no run is held exactly, the runs themselves are looked for with the edits of their length.
 """
 
 from __future__ import annotations
 
-import io
+import itertools
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrid.llm.words import mix, words
+from trigrid.runtime import materialize
 
-#: Words of a passage, edits allowed in it, characters of a q-gram at most (fewer where a passage is too short for the bound).
-WORDS, EDITS, Q = 12, 1, 12
-#: Evaluation texts sent to all tasks at once: at most so many characters; more are taken in rounds.
+#: Words of a passage, characters for each of which it may have an edit, characters of a q-gram at most (fewer where a passage is too short for the bound).
+WORDS, PER_EDIT, Q = 12, 30, 12
+#: Evaluation texts sent to all tasks at once: at most so many characters; more are taken in packs.
 ITEM_CHARS = 4_000_000
 #: Documents' characters looked at together, regions aligned together.
 CHUNK, REGIONS = 1_000_000, 4096
@@ -44,15 +47,20 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The q-grams of the evaluation texts, sorted by hash, with a bit table in front."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], n_words: int, edits: int, q: int) -> None:
-        self.ids, self.texts = ids, texts
+    def __init__(self, ids: np.ndarray, texts: list[str], n_words: int, per_edit: int, q: int) -> None:
+        self.ids, self.per_edit = ids, per_edit
         self.runs: list[set[str]] = []
         for t in texts:
             w = t.split(" ")
             self.runs.append({" ".join(w[i : i + n_words]) for i in range(len(w) - n_words + 1)})
-        self.length = np.array([min(map(len, r), default=0) for r in self.runs])
-        self.q = q = min(q, int(self.length.min(initial=q * (edits + 1))) // (edits + 1))
-        self.need = self.length + 1 - q * (edits + 1)
+        length = np.array([len(x) for r in self.runs for x in r])
+        budget = self.budget(length)
+        owner = np.repeat(np.arange(len(self.runs)), [len(r) for r in self.runs])
+        self.edits = int(budget.max(initial=1))
+        self.q = q = min(q, int((length // (budget + 1)).min(initial=q)))
+        self.need, self.least = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(self.need, owner, length + 1 - q * (budget + 1))
+        np.minimum.at(self.least, owner, length - 3 * budget)
         self.codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
@@ -65,6 +73,10 @@ class Index:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+    def budget(self, length):
+        """Edits that a passage may have."""
+        return np.maximum(1, length // self.per_edit) if self.per_edit else length * 0
+
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in codes, position in self.at) of all equal q-grams."""
         h = _grams(codes, self.q)
@@ -157,11 +169,23 @@ def near(doc: str, run: str, edits: int) -> bool:
     return False
 
 
-def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q: int):
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(name: str, pack: tuple[np.ndarray, list[str]], *how: int) -> Index:
+    """Built once in each Python worker; one pack is held at a time."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index(*pack, *how)
+    return _INDEXES[name]
+
+
+def _search(name: str, pack, n_words: int, per_edit: int, most_q: int):
+    """pack: a broadcast variable. Texts of the documents are normalised words joined by blanks if they have the column `joined`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = pack
-        index = Index(ids, texts, n_words, edits, most_q)
-        q, runs = index.q, index.runs
+        index = _index(name, pack.value, n_words, per_edit, most_q)
+        q, runs, edits = index.q, index.runs, index.edits
 
         def look(doc_ids: list, docs: list[str]) -> pa.RecordBatch:
             codes = np.frombuffer("".join(x + "\r" for x in docs).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -182,7 +206,7 @@ def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q
                     end = np.minimum(last[r] + slack, begin[d[r] + 1] - 1)
                     score[r] = aligned(codes, index.codes, start, end, low[r], index.start[i[r] + 1] - 1, index.start[i[r]], 2 * (edits + 1))
                 best: dict[tuple, int] = {}
-                for a, b, s, least in zip(d.tolist(), i.tolist(), score.tolist(), (index.length[i] - 3 * edits).tolist(), strict=True):
+                for a, b, s, least in zip(d.tolist(), i.tolist(), score.tolist(), index.least[i].tolist(), strict=True):
                     if s >= least:
                         best[a, b] = max(s, best.get((a, b), 0))
                 split: dict[int, list[str]] = {}
@@ -191,16 +215,17 @@ def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q
                         w = docs[a].split(" ")
                         split[a] = [" ".join(w[x : x + n_words]) for x in range(len(w) - n_words + 1)]
                     shared = sum(x in runs[b] for x in split[a])
-                    out.append((doc_ids[a], int(index.ids[b]), s, shared, bool(shared) or any(near(docs[a], x, edits) for x in runs[b])))
+                    out.append((doc_ids[a], int(index.ids[b]), s, shared, bool(shared) or any(near(docs[a], x, int(index.budget(len(x)))) for x in runs[b])))
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64() if c < 4 else pa.bool_()) for c in range(5)], names=["doc_id", "item_id", "score", "shared_runs", "near"])
 
         doc_ids: list = []
         docs: list[str] = []
         size = 0
         for b in batches:
-            for x, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            done = "joined" in b.schema.names
+            for x, t in zip(b.column("doc_id").to_pylist(), b.column("joined" if done else "text").to_pylist(), strict=True):
                 doc_ids.append(x)
-                docs.append(" ".join(words(t)))
+                docs.append(t if done else " ".join(words(t)))
                 size += len(docs[-1])
                 if size > CHUNK:
                     yield look(doc_ids, docs)
@@ -212,7 +237,7 @@ def _search(pack: tuple[np.ndarray, list[str]], n_words: int, edits: int, most_q
 
 
 def pack_items(items: DataFrame, item_id: str, text: str, n_words: int, most: int = ITEM_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """The evaluation texts as normalised strings, in rounds of at most `most` characters (one longer text is a round)."""
+    """The evaluation texts as normalised strings, in packs of at most `most` characters (one longer text is a pack)."""
     ids: list[int] = []
     texts: list[str] = []
     size = 0
@@ -231,19 +256,26 @@ def pack_items(items: DataFrame, item_id: str, text: str, n_words: int, most: in
         yield np.array(ids), texts
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n_words: int = WORDS, edits: int = EDITS, q: int = Q) -> DataFrame:
-    """(doc_id, item_id, score, shared_runs, near): documents with a passage of an item, found with at most `edits` edits in it.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([" ".join(words(t)) for t in b.column("text").to_pylist()], pa.string())], names=["doc_id", "joined"])
+
+
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n_words: int = WORDS, per_edit: int = PER_EDIT, q: int = Q) -> DataFrame:
+    """(doc_id, item_id, score, shared_runs, near): documents with a passage of an item, exact or with edits.
 
-    score is that of the best alignment: the characters in common, less 2 for each edit. shared_runs is the number of windows of n_words words that are exactly in both: 0 where the passage is only nearly
-    the same. near: a whole run of n_words words is there with at most `edits` edits of characters, whatever its length. An item of fewer words has no passage. Null and empty texts share nothing; copies of a row
-    come out once each, an item_id with several texts is one item for each. Only the items are sent to the tasks, in rounds of bounded size; documents are never shuffled.
+    score is that of the best alignment: the characters in common, less 2 for each edit. shared_runs is the number of windows of n_words words that are
+    exactly in both: 0 where the passage is only nearly the same. near: a whole run of n_words words is there with at most one edit of a character for each
+    per_edit of its characters (one at least; per_edit=0: none). An item of fewer words has no passage. Null and empty texts share nothing; copies of a row
+    come out once each, an item_id with several texts is one item for each. Documents are never shuffled. The items are broadcast in packs of bounded size,
+    each indexed once in every Python worker; if there are several packs, the documents' words are written once and each pack reads those.
     """
-    if 2 * n_words - 1 < edits + 1:
-        raise ValueError("too many edits for so few words")
+    spark = docs.sparkSession
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, score long, shared_runs long, near boolean"
-    out = None
-    for pack in pack_items(items, item_id, text, n_words):
-        part = rows.mapInArrow(_search(pack, n_words, edits, q), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    packs = (spark.sparkContext.broadcast(p) for p in pack_items(items, item_id, text, n_words))
+    sent = list(itertools.islice(packs, 2))
+    if len(sent) > 1:
+        rows, _ = materialize(rows.mapInArrow(_joined, "doc_id long, joined string"), "joined")
+    parts = [rows.mapInArrow(_search(uuid.uuid4().hex, pack, n_words, per_edit, q), schema) for pack in itertools.chain(sent, packs)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)

@@ -101,7 +101,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with the items it holds: a run of 12 words of any length, exact or with one edit, or an aligned part that scores 72 with edits."""
+    """Every document with the items it holds: a run of 12 words, exact or with one edit for each 30 of its characters, or an aligned part that scores 72."""
     return leaked(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")).where("near OR score >= 72").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("shared_runs").alias("shared_runs"))
 
 
