@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,14 +99,15 @@ def test_unit_vectors(spark, data):
     assert got == brute_mutual(ids, u, 3, 0.2)
 
 
-def test_search_recall(spark):
-    """High-dimensional noise without structure is the worst case; recall against brute force reaches 0.9."""
+@pytest.mark.parametrize(("n", "leaf"), [(6000, 1536), (6000, 200), (500, 1536)])
+def test_search_recall(spark, n, leaf):
+    """High-dimensional noise without structure is the worst case; recall against brute force reaches 0.9 with few leaves and with many."""
     rng = np.random.default_rng(8)
-    x = rng.normal(0, 1, (6000, 24))
+    x = rng.normal(0, 1, (n, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids = np.arange(len(x))
     df = frame(spark, ids, x)
-    got = search(df.where("id % 100 = 0"), df, 24, 3, len(x), x[:4000], unit=True).collect()
+    got = search(df.where("id % 100 = 0"), df, 24, 3, len(x), x[:4000], unit=True, leaves=L.Leaves(x[:4000], len(x), leaf)).collect()
     have = {(r["id_a"], r["id_b"]) for r in got}
     hit = total = 0
     for q in range(0, len(x), 100):
@@ -117,11 +120,37 @@ def test_search_recall(spark):
     assert all(sum(a == q for a, _ in have) == 3 for q in range(0, len(x), 100))
 
 
+def test_probes_follow_the_data(spark):
+    """Tight groups need few of many leaves."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 5, (40, 8))[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 8))
+    leaves = L.Leaves(x, len(x), 60)
+    assert len(leaves.c) > 30 and neighbours.probes_for(frame(spark, np.arange(len(x)), x), leaves, 8, 3, len(x)) <= len(leaves.c) // 4
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_recall_on_tables(spark):
+    """p3_knn on whole tables against brute force: both kinds reach 0.9."""
+    from trigrid.llm.queries import _vectors, p3_knn
+
+    got = p3_knn(spark, DATA).collect()
+    for kind in ("theta", "rand_proj"):
+        rows = _vectors(spark, DATA, kind)[0].orderBy("id").collect()
+        ids, x = np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows])
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) if kind == "rand_proj" else x
+        have = {(r["id_a"], r["id_b"]) for r in got if r["vec_kind"] == kind}
+        want = {(int(ids[i]), int(b)) for i in np.flatnonzero(ids % 100 == 0) for d in [((x - x[i]) ** 2).sum(1)] for b in [ids[j] for j in np.lexsort((ids, d)) if j != i][:3]}
+        assert want and len(have & want) / len(want) >= 0.9
+
+
 def test_search_is_exact_with_all_leaves(spark, data):
     ids, x = data
     got = {}
     df = frame(spark, ids, x)
-    for r in search(df, df, 6, 3, len(x), x, probe_share=1.0).collect():
+    for r in search(df, df, 6, 3, len(x), x, recall=1.0).collect():
         got.setdefault(r["id_a"], []).append((r["rank"], r["id_b"]))
     want = brute_top(ids, x, 3)
     assert {a: [b for _, b in sorted(v)] for a, v in got.items()} == {a: [b for b, _ in v] for a, v in want.items()}

@@ -23,6 +23,8 @@ from trigrid.llm.words import mix
 MATTERS, QUERIES = 0.4, 512
 #: A query with more candidates than this share of the block is reranked by a matrix product.
 DENSE = 0.1
+#: Residuals that a codebook is fitted on at most. Queries that the number of probes is measured on at most, and the recall it has to reach on them.
+FITTED, MEASURED, RECALL = 8192, 256, 0.98
 #: Standard deviations of a neighbour's way towards a border that are followed into the other leaf (1 / reach of the lossless way).
 SIGMAS = 3.0
 
@@ -31,11 +33,12 @@ class Codebook:
     """16 code words for each pair of dimensions, fitted on residuals by the anisotropic loss."""
 
     def __init__(self, u: np.ndarray, rounds: int = 6, seed: int = 11) -> None:
+        """u: residuals of a sample in the order of a hash; the first FITTED of it are used."""
         d = u.shape[1]
         self.m = m = (d + 1) // 2
         self.weight = max(1.0, (d - 1) * MATTERS**2 / (1 - MATTERS**2)) - 1
         rng = np.random.default_rng(seed)
-        u = u[: 8192]
+        u = u[:FITTED]
         x = self.split(u)
         self.words = np.zeros((m, 16, 2))
         for j in range(m):
@@ -346,20 +349,66 @@ def _route_queries(leaves: Leaves, size: int, probes: int, unit: bool):
     return run
 
 
-def search(queries: DataFrame, base: DataFrame, size: int, k: int, total: int, sample: np.ndarray, probe_share: float = 0.4, unit: bool = False) -> DataFrame:
+def _measure(queries: np.ndarray, ids: np.ndarray, size: int, k: int, unit: bool):
+    """The k nearest rows of a split for each of few queries, exactly: (query, id, squared distance, vector)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.full((len(queries), k), np.inf)
+        who, vec = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k, size))
+        for b in batches:
+            x = matrix(b.column("vec"), size)
+            own = b.column("id").to_numpy()
+            x = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
+            d = squared(queries, x)
+            d[ids[:, None] == own[None, :]] = np.inf
+            m = min(k, d.shape[1])
+            col = np.argpartition(d, m - 1, axis=1)[:, :m]
+            near, who, vec = np.concatenate([near, np.take_along_axis(d, col, 1)], 1), np.concatenate([who, own[col]], 1), np.concatenate([vec, x[col]], 1)
+            top = np.argpartition(near, k - 1, axis=1)[:, :k]
+            near, who, vec = np.take_along_axis(near, top, 1), np.take_along_axis(who, top, 1), np.take_along_axis(vec, top[:, :, None], 1)
+        row, at = np.nonzero(near < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(who[row, at]), pa.array(near[row, at]), to_bytes(vec[row, at])], names=["query", "id", "d2", "vec"])
+
+    return run
+
+
+def probes_for(base: DataFrame, leaves: Leaves, size: int, k: int, total: int, unit: bool = False, recall: float = RECALL, measured: int = MEASURED) -> int:
+    """How many of the leaves nearest to a query hold at least this share of the true neighbours.
+
+    Measured by brute force: at most about `measured` rows, taken by a hash of their ids, against all rows of base, in one pass; k rows a query and split are
+    shuffled, k a query come to the driver.
+    """
+    share = int(min(1.0, measured / max(total, 1)) * 2**30)
+    got = base.where(F.pmod(F.xxhash64("id", F.lit("probes")), F.lit(2**30)) < share).select("id", "vec").toArrow()
+    if not got.num_rows or len(leaves.c) == 1:
+        return len(leaves.c)
+    q, ids = matrix(got.column("vec"), size), got.column("id").to_numpy()
+    q = q / np.linalg.norm(q, axis=1, keepdims=True) if unit else q
+    found = base.select("id", "vec").mapInArrow(_measure(q, ids, size, k, unit), "query int, id long, d2 double, vec binary")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k).select("query", "vec").toArrow()
+    if not best.num_rows:
+        return len(leaves.c)
+    home, _ = leaves.home(from_bytes(best.column("vec"), size))
+    _, d = leaves.home(q)
+    d = d[best.column("query").to_numpy()]
+    place = np.sort((d < d[np.arange(len(home)), home][:, None]).sum(1))
+    return int(place[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1
+
+
+def search(queries: DataFrame, base: DataFrame, size: int, k: int, total: int, sample: np.ndarray, unit: bool = False, recall: float = RECALL, leaves: Leaves | None = None) -> DataFrame:
     """(id_a, id_b, d2, rank): the k nearest rows of base for every query, by Euclidean distance (of the unit vectors), ties by id.
 
     A row is not its own neighbour. Every row of base is in the index; of equal vectors the k + 1 smallest ids are held,
-    which are all that can come out. A query looks into the nearest probe_share of the leaves; only this loses anything.
+    which are all that can come out. A query looks into a number of leaves that is measured on the data to reach the recall
+    (probes_for); only this loses anything, and recall=1.0 looks into all.
     """
     if not len(sample):
         return queries.sparkSession.createDataFrame([], FOUND + ", rank int")
     if unit:
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    leaves = Leaves(sample, total)
-    book = Codebook(sample - leaves.c[leaves.own])
-    probes = max(1, int(np.ceil(probe_share * len(leaves.c))))
+    leaves = leaves or Leaves(sample, total)
+    book = Codebook(sample - leaves.c[squared(sample, leaves.c).argmin(1)])
+    probes = probes_for(base, leaves, size, k, total, unit, recall) if recall < 1 else len(leaves.c)
     routed = base.select("id", "vec").mapInArrow(_route_base(leaves, size, k + 1, unit), ROUTED).unionByName(queries.select("id", "vec").mapInArrow(_route_queries(leaves, size, probes, unit), ROUTED))
     found = routed.groupBy("leaf", "block").applyInArrow(_look(leaves, book, size, k, None, k + 1, False), FOUND)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy("d2", "id_b"))).where(F.col("rank") <= k)
-
