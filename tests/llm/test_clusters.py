@@ -1,11 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from trigrid.functions.leaves import Leaves
-from trigrid.llm.clusters import average_linkage, clusters, described, merge_rounds, spanning_edges
+from trigrid.llm import clusters as clusters_module
+from trigrid.llm.clusters import EDGES, average_linkage, clusters, connected, described, merge_rounds, spanning_edges
 
 
 @pytest.fixture(scope="module")
@@ -43,12 +43,22 @@ def frame(spark, ids, x):
     return spark.createDataFrame([(i, v, "clash") for i, v in zip(ids.tolist(), x.tolist(), strict=True)], "id long, vec array<double>, cluster_id string").repartition(3)
 
 
-@pytest.mark.parametrize(("leaf", "block", "local"), [(1536, 4096, 2_000_000), (40, 30, 2_000_000), (40, 30, 30)])
-def test_connected_sets(spark, data, leaf, block, local):
-    """In one block, across leaves and blocks, and with rounds that run as joins."""
+@pytest.mark.parametrize(("leaf", "block"), [(1536, 4096), (40, 30)])
+def test_connected_sets(spark, data, leaf, block):
+    """In one block, and across leaves and blocks."""
     ids, x = data
-    got = {tuple(r) for r in clusters(frame(spark, ids, x), 4, 0.25, len(x), x, local_edges=local, leaves=Leaves(x, len(x), leaf, block)).collect()}
-    assert got == brute(ids, x, 0.25)
+    got = clusters(frame(spark, ids, x), 4, 0.25, len(x), x, leaves=Leaves(x, len(x), leaf, block)).collect()
+    assert {(r["cluster_id"], r["id"]) for r in got} == brute(ids, x, 0.25) and len(got) == len({r["id"] for r in got})
+    groups = {}
+    for r in got:
+        groups.setdefault(r["group_id"], []).append(r)
+    at = dict(zip(ids.tolist(), x, strict=True))
+    for g, rs in groups.items():  # groups are within sets, and tight: on average as near as the radius
+        assert len({r["cluster_id"] for r in rs}) == 1 and g == min(r["id"] for r in rs)
+        v = np.array([at[r["id"]] for r in rs])
+        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+        assert d.sum() <= 0.5 * len(v) ** 2
+    assert any(len(rs) > 2 for rs in groups.values()) and len(groups) > len({r["cluster_id"] for r in got})
 
 
 def test_description(spark, data):
@@ -69,23 +79,83 @@ def test_description(spark, data):
         assert len(got) == 3 and (size[c] == 80 or got == best)
 
 
+def sequential(u, v, s, threshold):
+    """The best pair of clusters, one after the other; a pair without an edge counts 0."""
+    own = {int(i): {int(i)} for i in np.concatenate([u, v])}
+    edge = {(int(a), int(b)): float(x) for a, b, x in zip(u, v, s, strict=True)}
+    while True:
+        total = {}
+        at = {i: c for c, m in own.items() for i in m}
+        for (a, b), x in edge.items():
+            if at[a] != at[b]:
+                k = (min(at[a], at[b]), max(at[a], at[b]))
+                total[k] = total.get(k, 0) + x
+        mean = {k: x / (len(own[k[0]]) * len(own[k[1]])) for k, x in total.items()}
+        if not mean or max(mean.values()) < threshold:
+            return {i: c for c, m in own.items() for i in m}, mean
+        a, b = max(mean, key=mean.get)
+        own[a] |= own.pop(b)
+
+
 def test_average_linkage_stops_below_the_threshold(spark):
     """1-2 merge first; the mean of their two edges to 3 is then below the threshold, though one of them is above."""
     u, v, s = np.array([1, 2, 1, 4]), np.array([2, 3, 3, 5]), np.array([0.9, 0.8, 0.2, 0.95])
-    ids, label, ru, rv, total, count = merge_rounds(u, v, s, np.ones(4, int), 0.6)
+    ids, label, ru, rv, total, nu, nv = merge_rounds(u, v, s, 0.6)
     assert dict(zip(ids.tolist(), label.tolist(), strict=True)) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
-    assert (ru.tolist(), rv.tolist(), total.tolist(), count.tolist()) == ([1], [3], [1.0], [2])
-    df = spark.createDataFrame(pd.DataFrame({"a": u, "b": v, "total": s, "count": np.ones(4, int)}))
-    for local in (0, 1, 100):
-        assert {tuple(r) for r in average_linkage(df, 0.6, local).collect()} == {(2, 1), (5, 4)}
-
-
-def test_ties_merge_in_rounds():
-    """All edges equal: a round still merges something, and nothing is merged twice."""
-    n = 50
-    u, v = np.arange(n - 1), np.arange(1, n)
-    _, label, ru, *_ = merge_rounds(u, v, np.ones(n - 1), np.ones(n - 1, int), 0.5)
-    assert (label == 0).all() and not len(ru)
+    assert (ru.tolist(), rv.tolist(), total.tolist(), nu.tolist(), nv.tolist()) == ([1], [3], [1.0], [2], [1])
+    df = spark.createDataFrame([(*map(int, e), float(t), 1, 1) for e, t in zip(zip(u, v, strict=True), s, strict=True)], EDGES)
+    labels, left = average_linkage(df, 0.6)
+    assert {tuple(r) for r in labels.collect()} == {(2, 1), (5, 4)}
+    assert [tuple(r) for r in left.collect()] == [(1, 3, 1.0, 2, 1)]
+
+
+@pytest.mark.parametrize("levels", [2**40, 16])
+def test_average_linkage_against_sequential(spark, monkeypatch, levels):
+    """With fine steps the rounds, in a block and by joins, end with the clusters of the sequential algorithm; with coarse ones no pair is left that should merge."""
+    monkeypatch.setattr(clusters_module, "LEVELS", levels)
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (400, 2)) // 4 * 4 + rng.integers(0, 5, (400, 2)) if a != b})
+    u, v = np.array(pairs).T
+    s = rng.uniform(0.5, 1, len(u))
+    want, _ = sequential(u, v, s, 0.5)
+    ids, label, ru, rv, total, nu, nv = merge_rounds(u, v, s, 0.5)
+    labels, left = average_linkage(spark.createDataFrame([(a, b, float(t), 1, 1) for (a, b), t in zip(pairs, s, strict=True)], EDGES), 0.5)
+    moved = {r["node"]: r["label"] for r in labels.collect()}
+    rest = left.collect()
+    assert all(r["total"] / (r["size_a"] * r["size_b"]) < 0.5 for r in rest) and (total / (nu * nv) < 0.5).all() and len(rest)
+    if levels > 16:
+        assert dict(zip(ids.tolist(), label.tolist(), strict=True)) == want == {i: moved.get(i, i) for i in want}
+        assert len(set(want.values())) < len(want) - 10
+
+
+def test_ties_merge_in_few_rounds(spark):
+    """All edges of a chain equal, or falling: rounds don't grow with its length, and a merged pair is tight."""
+    n = 400
+    for s in (np.ones(n - 1), np.linspace(1, 0.9, n - 1)):
+        _, label, ru, rv, total, nu, nv = merge_rounds(np.arange(n - 1), np.arange(1, n), s, 0.5)
+        assert (total / (nu * nv) < 0.5).all() and np.bincount(label).max() <= 3 and len(ru) == len(set(label.tolist())) - 1
+
+
+def test_connected(spark):
+    rng = np.random.default_rng(5)
+    chain, star, some = [(i, i + 1) for i in range(150)], [(1000, 1001 + i) for i in range(100)], rng.integers(2000, 2150, (120, 2)).tolist()
+    edges = [*chain, *star, *map(tuple, some), (5, 5), (1, 0)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    name = lambda i: got.get(i, i)
+    sets = {}
+    for i in list(root):
+        sets.setdefault(find(i), set()).add(name(i))
+    assert all(len(x) == 1 for x in sets.values()) and len({min(x) for x in sets.values()}) == len(sets)
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_spanning_edges():

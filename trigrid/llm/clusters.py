@@ -1,11 +1,17 @@
-"""Similarity clusters: reciprocal-nearest-neighbour average linkage on a sparse graph.
-
-The graph has the least spanning edges of each block of vectors that lie within a radius of each other, and, between
-blocks, the shortest edge from a vector to each connected part of the other block: no set of mutually similar vectors
-is written out pair by pair, and two vectors are connected by it if and only if they are in the graph of all pairs. Each
-round merges all pairs of clusters that are each other's best, in parallel; the similarity of two clusters is the mean over the
-stored edges between them, and the rounds end when no mean reaches the threshold. Pairs whose edges are all known to a block are
-merged there; the rest is merged over the whole graph.
+"""Similarity clusters: reciprocal-nearest-neighbour average linkage on a sparse graph, then the sets that its edges connect.
+
+The graph has, within a radius, the nearest neighbours of every vector in each block it meets, the least spanning edges of each block, and,
+between blocks, the shortest edge from a vector to each connected part of the other block: no set of mutually similar vectors
+is written out pair by pair, and two vectors are connected by it if and only if they are in the graph of all pairs.
+
+Average linkage: each round merges all pairs of clusters that are each other's best, in parallel. The similarity of two clusters is the sum over the
+edges between them divided by the number of all pairs between them (a pair that isn't stored is not similar: 0), so it falls
+where clusters touch at few points only, and the rounds end when no pair reaches the threshold. Similarities within one of LEVELS steps
+count as equal and go by a hash of the pair, so chains of falling similarities do not merge one by one. Clusters whose
+edges are all known to a block are merged there; the rest is merged by joins over the whole graph.
+
+Finish: linkage leaves tight groups with edges between them. Where connected sets are asked for, groups go to neighbours of the least
+hash and the graph is contracted, until no edge is left: a logarithmic number of rounds, all of them joins.
 """
 
 from __future__ import annotations
@@ -18,35 +24,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigrid.functions.leaves import Leaves, from_bytes, matrix, squared
-from trigrid.llm.neighbours import ROUTED, _spread, _vector_hash, to_bytes
+from trigrid.llm.neighbours import ROUTED, _spread, _vector_hash, ranked, to_bytes
+from trigrid.llm.words import mix
 from trigrid.runtime import lookup_join, materialize, release, salted_join
 
-#: Edges that one task merges; a larger graph is merged by joins, round by round, until it is as small.
-LOCAL_EDGES = 2_000_000
-#: Queries compared with a block at once.
-QUERIES = 512
+#: Nearest neighbours of a vector that the graph has from each block it meets; queries compared with a block at once.
+NEIGHBOURS, QUERIES = 5, 512
+#: Steps of the similarity (from 0 to 1) within which pairs count as equally similar.
+LEVELS = 16
 FOREIGN, CLOSED, OPEN = 0, 1, 2
 
 
-def merge_rounds(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndarray, threshold: float, open_ids: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(ids, labels, u, v, total, count): clusters (named by their smallest id) and the edges left between them.
+def pair_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return mix(mix(np.asarray(lo, np.int64).view(np.uint64)) * np.uint64(31) + np.asarray(hi, np.int64).view(np.uint64))
+
+
+def merge_rounds(u: np.ndarray, v: np.ndarray, total: np.ndarray, threshold: float, open_ids: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(ids, labels, u, v, total, size of u, size of v): clusters (named by their smallest id) of single nodes and the edges left between them.
 
-    Edges are ordered by mean similarity, then by their ends, so the best edge of a cluster is unique and every round
-    merges at least the best edge of each connected part. Ids in open_ids have edges elsewhere and aren't merged.
+    Every pair of nodes has one edge. Pairs are ordered by the step of their mean similarity, then by hash, so the best pair of a cluster is unique
+    and every round merges at least the best pair of each connected part. Ids in open_ids have edges elsewhere and aren't merged.
     """
     ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     u, v = at[: len(u)], at[len(u) :]
-    label = np.arange(len(ids))
+    label, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
     shut = np.isin(ids, open_ids) if open_ids is not None and len(open_ids) else np.zeros(len(ids), bool)
-    total, count = np.asarray(total, float), np.asarray(count, np.int64)
+    total = np.asarray(total, float)
     while len(u):
         lo, hi = np.minimum(u, v), np.maximum(u, v)
         key, back = np.unique(lo * len(ids) + hi, return_inverse=True)
-        total, count = np.bincount(back, total, len(key)), np.bincount(back, count, len(key)).astype(np.int64)
+        total = np.bincount(back, total, len(key))
         u, v = key // len(ids), key % len(ids)
-        mean = total / count
+        mean = total / (size[u] * size[v])
         rank = np.empty(len(key), np.int64)
-        rank[np.lexsort((v, u, -mean))] = np.arange(len(key))
+        rank[np.lexsort((pair_hash(ids[u], ids[v]), -np.floor(mean * LEVELS + 1e-9)))] = np.arange(len(key))
         best = np.full(len(ids), len(key))
         np.minimum.at(best, u, rank)
         np.minimum.at(best, v, rank)
@@ -55,11 +66,12 @@ def merge_rounds(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndar
             break
         to = np.arange(len(ids))
         to[v[go]] = u[go]
+        size[u[go]] += size[v[go]]
         label = to[label]
         u, v = to[u], to[v]
         apart = u != v
-        u, v, total, count = u[apart], v[apart], total[apart], count[apart]
-    return ids, ids[label], ids[u], ids[v], total, count
+        u, v, total = u[apart], v[apart], total[apart]
+    return ids, ids[label], ids[u], ids[v], total, size[u], size[v]
 
 
 def spanning_edges(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,121 +128,186 @@ def _route(leaves: Leaves, size: int, radius: float):
     return run
 
 
-def _link(size: int, radius: float):
-    """A block -> labels of what was merged in it (count 0) and the edges left (count > 0)."""
+def nearest_within(x: np.ndarray, y: np.ndarray, radius: float, k: int, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of all pairs within the radius; of the k nearest of each row if `same`: x is y, itself left out."""
+    out = []
+    for s in range(0, len(x) if len(y) else 0, QUERIES):
+        q = x[s : s + QUERIES]
+        d = squared(q, y)
+        near = d <= radius**2 * (1 + 1e-6) + 1e-9
+        if same:
+            near[np.arange(len(q)), s + np.arange(len(q))] = False
+            if d.shape[1] > k + 1:
+                near &= d <= np.partition(d, k, axis=1)[:, k, None] * (1 + 1e-9) + 1e-9
+        i, j = np.nonzero(near)
+        d = ((q[i] - y[j]) ** 2).sum(1)
+        held = d <= radius**2
+        i, j, d = i[held], j[held], d[held]
+        if same:
+            held = ranked(i, d, j) < k
+            i, j, d = i[held], j[held], d[held]
+        out.append((i + s, j, d))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def similarity(d2: np.ndarray, radius: float) -> np.ndarray:
+    """1 for equal vectors, 1/2 at the radius."""
+    return 1 - np.sqrt(d2) / (2 * radius)
+
+
+def _link(size: int, radius: float, k: int, threshold: float):
+    """A block -> labels of what was merged in it (size_a = 0) and the edges left, with the sizes of their ends."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         role, ids, x = table.column("role").to_numpy(), table.column("id").to_numpy(), from_bytes(table.column("vec"), size)
-        a, b, total, count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        a, b, total, na, nb = none, none, np.zeros(0), none, none
         own = role != FOREIGN
         if own.any():
             order = np.argsort(ids[own])
             base, base_ids, base_role = x[own][order], ids[own][order], role[own][order]
             i, j, d2, part = spanning_edges(base, radius)
-            names, label, u, v, t, c = merge_rounds(base_ids[i], base_ids[j], 1 - np.sqrt(d2), np.ones(len(i), np.int64), 1 - radius, base_ids[base_role == OPEN])
+            i2, j2, d3 = nearest_within(base, base, radius, k, True)
+            i, j, d2 = np.concatenate([i, i2]), np.concatenate([j, j2]), np.concatenate([d2, d3])
+            once = np.unique(np.minimum(i, j) * len(base) + np.maximum(i, j), return_index=True)[1]
+            i, j, d2 = i[once], j[once], d2[once]
+            names, label, u, v, t, nu, nv = merge_rounds(base_ids[i], base_ids[j], similarity(d2, radius), threshold, base_ids[base_role == OPEN])
             moved = names != label
             q, q_ids = x[~own], ids[~own]
-            cross = []
-            for s in range(0, len(q), QUERIES):
-                r, k = np.nonzero(squared(q[s : s + QUERIES], base) <= radius**2 * (1 + 1e-6) + 1e-9)
-                d = ((q[s + r] - base[k]) ** 2).sum(1)
-                o = np.lexsort((base_ids[k], d, part[k], r))
-                o = o[d[o] <= radius**2]
-                r, k, d = r[o], k[o], d[o]
-                first = np.ones(len(r), bool)
-                first[1:] = (r[1:] != r[:-1]) | (part[k[1:]] != part[k[:-1]])
-                cross.append((q_ids[s + r[first]], base_ids[k[first]], 1 - np.sqrt(d[first])))
-            xs = [np.concatenate(z) for z in zip(*cross, strict=True)] if cross else [a, b, total]
-            a, b = np.concatenate([names[moved], u, xs[0]]), np.concatenate([label[moved], v, xs[1]])
-            total, count = np.concatenate([np.zeros(moved.sum()), t, xs[2]]), np.concatenate([np.zeros(moved.sum(), np.int64), c, np.ones(len(xs[0]), np.int64)])
-        return pa.table({"a": a, "b": b, "total": total, "count": count})
+            r, c, d = nearest_within(q, base, radius, k)
+            nearest = ranked(r, d, base_ids[c]) < k  # the nearest, and the shortest way to each part
+            nearest |= ranked(r * (int(part.max()) + 1) + part[c], d, base_ids[c]) < 1
+            r, c, d = r[nearest], c[nearest], d[nearest]
+            one, zero = np.ones(len(r), np.int64), np.zeros(int(moved.sum()), np.int64)
+            a, b = np.concatenate([names[moved], u, q_ids[r]]), np.concatenate([label[moved], v, base_ids[c]])
+            total = np.concatenate([zero.astype(float), t, similarity(d, radius)])
+            na, nb = np.concatenate([zero, nu, one]), np.concatenate([zero, nv, one])
+        return pa.table({"a": a, "b": b, "total": total, "size_a": na, "size_b": nb})
 
     return run
 
 
-EDGES = "a long, b long, total double, count long"
+EDGES = "a long, b long, total double, size_a long, size_b long"
 
 
-def sparse_graph(rows: DataFrame, size: int, radius: float, leaves: Leaves) -> DataFrame:
-    """Labels (count 0) and edges (count > 0) of rows (id, vec), both distinct."""
+def sparse_graph(rows: DataFrame, size: int, radius: float, leaves: Leaves, k: int = NEIGHBOURS, threshold: float = 0.5) -> DataFrame:
+    """Labels (size_a = 0) and edges of rows (id, vec), both distinct."""
     routed = rows.select("id", "vec").mapInArrow(_route(leaves, size, radius), ROUTED.replace("home boolean", "role tinyint"))
-    return routed.groupBy("leaf", "block").applyInArrow(_link(size, radius), EDGES)
+    return routed.groupBy("leaf", "block").applyInArrow(_link(size, radius, k, threshold), EDGES)
 
 
-def average_linkage(edges: DataFrame, threshold: float, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(node, label) for every node that was merged into another: label is the smallest node of its cluster.
+def _merged(edges: DataFrame) -> DataFrame:
+    """One row for a pair of clusters, a < b; edges within a cluster go."""
+    turned = F.col("a") > F.col("b")
+    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"))
+    return e.groupBy("a", "b").agg(F.sum("total").alias("total"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
+
+
+def _renamed(labels: DataFrame | None, moves: DataFrame) -> DataFrame:
+    """Labels (node, label) after moves (node, label) of clusters."""
+    if labels is None:
+        return moves
+    to = moves.select(F.col("node").alias("label"), F.col("label").alias("__new"))
+    return lookup_join(labels, to, ["label"]).select("node", F.coalesce("__new", "label").alias("label")).unionByName(moves)
+
 
-    edges: a, b, total (sum of similarities), count (edges it stands for). Rounds run as joins while there are more than
-    local_edges edges; what is left is merged in one task by the same rule.
+def average_linkage(edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((node, label) of every node that was merged into another, the edges left between clusters); a label is the smallest node of its cluster.
+
+    edges: a, b, total (sum of similarities), size_a, size_b (nodes of each end). Every round is a handful of joins and pre-aggregated sums over all
+    edges; nothing is gathered in one task or on the driver.
     """
     spark = edges.sparkSession
-    lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    merged = lambda e: e.where("a <> b").groupBy(lo.alias("a"), hi.alias("b")).agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
-    now, path = materialize(merged(edges), "edges")
-    labels: DataFrame | None = None
-    label_path: str | None = None
-    while now.count() > local_edges:
-        order = F.struct((-F.col("total") / F.col("count")).alias("w"), F.col("a").alias("a"), F.col("b").alias("b"))
-        ends = now.select(order.alias("e"), "a", "b").select("e", F.explode(F.array("a", "b")).alias("node"))
-        best = ends.groupBy("node").agg(F.min("e").alias("e")).select("node", F.col("e").cast("struct<w:double,a:bigint,b:bigint>").alias("e"))
-        pairs = best.where(F.col("e.w") <= -threshold + 1e-12).groupBy("e").count().where("count = 2").select(F.col("e.b").alias("old"), F.col("e.a").alias("new"))
-        moves, moves_path = materialize(pairs, "moves")
+    now, path = materialize(_merged(edges), "edges")
+    labels, label_path = spark.createDataFrame([], "node long, label long"), None
+    mean = F.col("total") / (F.col("size_a") * F.col("size_b"))
+    order = F.struct((-F.floor(mean * LEVELS + 1e-9)).alias("w"), F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"), F.col("b").alias("b"))
+    while True:
+        ends = now.select(order.alias("e"), (mean >= threshold - 1e-12).alias("ok"), "a", "b", (F.col("size_a") + F.col("size_b")).alias("size")).select("e", "ok", "size", F.explode(F.array("a", "b")).alias("node"))
+        best = ends.groupBy("node").agg(F.min(F.struct("e", "ok", "size")).alias("x"))
+        pairs = best.where("x.ok").groupBy("x.e.a", "x.e.b").agg(F.count("*").alias("n"), F.max("x.size").alias("size")).where("n = 2")
+        moves, moves_path = materialize(pairs.select("a", "b", "size"), "moves")
         if moves.isEmpty():
-            break
+            release(spark, moves_path)
+            return labels, now
+        gone = moves.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("to"), "size"), F.struct(F.col("b").alias("node"), F.col("a").alias("to"), "size"))).alias("m")).select("m.*")
         renamed = now
         for c in ("a", "b"):
-            renamed = lookup_join(renamed, moves.select(F.col("old").alias(c), F.col("new").alias("__new")), [c]).withColumn(c, F.coalesce("__new", c)).drop("__new")
-        after, after_path = materialize(merged(renamed), "edges")
-        step = moves.select(F.col("old").alias("node"), F.col("new").alias("label"))
-        if labels is not None:
-            step = lookup_join(labels, moves.select(F.col("old").alias("label"), F.col("new").alias("__new")), ["label"]).select("node", F.coalesce("__new", "label").alias("label")).unionByName(step)
-        new_labels, new_path = materialize(step, "labels")
+            to = gone.select(F.col("node").alias(c), F.col("to").alias("__to"), F.col("size").alias("__size"))
+            renamed = lookup_join(renamed, to, [c]).withColumns({c: F.coalesce("__to", c), f"size_{c}": F.coalesce("__size", f"size_{c}")}).drop("__to", "__size")
+        after, after_path = materialize(_merged(renamed), "edges")
+        new_labels, new_path = materialize(_renamed(labels, moves.select(F.col("b").alias("node"), F.col("a").alias("label"))), "labels")
         release(spark, path, moves_path, label_path)
         now, path, labels, label_path = after, after_path, new_labels, new_path
 
-    def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, label, *_ = merge_rounds(*(table.column(c).to_numpy() for c in ("a", "b", "total", "count")), threshold)
-        moved = ids != label
-        return pa.table({"node": ids[moved], "label": label[moved]})
 
-    if now.count() > local_edges:  # nothing merges any more
-        return labels if labels is not None else spark.createDataFrame([], "node long, label long")
-    last, _ = materialize(now.groupBy(F.lit(0).alias("all")).applyInArrow(finish, "node long, label long"), "labels")
-    if labels is None:
-        return last
-    return lookup_join(labels, last.select(F.col("node").alias("label"), F.col("label").alias("__new")), ["label"]).select("node", F.coalesce("__new", "label").alias("label")).unionByName(last)
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of an edge (a, b) that isn't the representative of its connected set.
+
+    In each round a node looks at the one of least hash among itself and its neighbours, and from there once more; if it stands at one that is
+    least itself, it goes there, and the graph is contracted. The hash is another one in every round, so a share of the nodes
+    that doesn't depend on their number is expected to go: rounds grow with its logarithm.
+    """
+    spark = edges.sparkSession
+    once = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    now, path = materialize(once(edges), "links")
+    labels, label_path, turn = spark.createDataFrame([], "node long, label long"), None, 0
+    while not now.isEmpty():
+        h = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        least = both.groupBy("a").agg(F.min(h("b")).alias("n")).select(F.col("a").alias("node"), F.least(h("a"), F.col("n"))["id"].alias("label"))
+        first, first_path = materialize(least, "first")
+        on = lookup_join(first, first.select(F.col("node").alias("label"), F.col("label").alias("__on")), ["label"], "inner").select("node", F.col("__on").alias("label"))
+        roots = first.where("node = label").select("label")
+        moves, moves_path = materialize(lookup_join(on.where("node <> label"), roots, ["label"], "left_semi").select("node", "label"), "moves")
+        renamed = now
+        for c in ("a", "b"):
+            renamed = lookup_join(renamed, moves.select(F.col("node").alias(c), F.col("label").alias("__to")), [c]).withColumn(c, F.coalesce("__to", c)).drop("__to")
+        after, after_path = materialize(once(renamed), "links")
+        new_labels, new_path = materialize(_renamed(labels, moves), "labels")
+        release(spark, path, first_path, moves_path, label_path)
+        now, path, labels, label_path, turn = after, after_path, new_labels, new_path, turn + 1
+    release(spark, path)
+    return labels
 
 
-def clusters(rows: DataFrame, size: int, radius: float, total: int, sample: np.ndarray, least: int = 3, local_edges: int = LOCAL_EDGES, leaves: Leaves | None = None) -> DataFrame:
-    """(cluster_id, id): the clusters of at least `least` ids; cluster_id is the smallest id of the cluster.
+def clusters(rows: DataFrame, size: int, radius: float, total: int, sample: np.ndarray, least: int = 3, leaves: Leaves | None = None, neighbours: int = NEIGHBOURS, threshold: float = 0.5) -> DataFrame:
+    """(cluster_id, id, group_id): the connected sets of at least `least` ids; cluster_id is the smallest id of the set. group_id: the tight group within it.
 
-    rows: id (unique), vec (arrays of `size` finite doubles). Every stored edge has a similarity (1 - distance) of at least
-    1 - radius, so a mean over stored edges reaches this threshold too: the rounds end with the connected sets of all pairs within
-    radius. Equal vectors are one node. An empty table gives no rows.
+    rows: id (unique), vec (arrays of `size` finite doubles). Groups are those of average linkage: the similarity of a pair is 1 less half its distance in
+    radii, and groups merge while the mean over all pairs between them is at least `threshold` (the similarity at the radius). What edges within the radius still
+    link is one connected set. Equal vectors are one node and share their group. An empty table gives no rows.
     """
+    spark = rows.sparkSession
     if not len(sample):
-        return rows.sparkSession.createDataFrame([], "cluster_id long, id long")
+        return spark.createDataFrame([], "cluster_id long, id long, group_id long")
     leaves = leaves or Leaves(sample, total)
-    nodes, _ = materialize(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
-    graph, _ = materialize(sparse_graph(nodes, size, radius, leaves), "graph")
-    local = graph.where("count = 0").select(F.col("a").alias("id"), F.col("b").alias("near"))
-    far = average_linkage(graph.where("count > 0"), 1 - radius, local_edges).select(F.col("node").alias("near"), F.col("label").alias("far"))
-    named = nodes.select("id", "n").join(local, "id", "left").withColumn("near", F.coalesce("near", "id"))
-    named = lookup_join(named, far, ["near"]).select("id", "n", F.coalesce("far", "near").alias("cluster_id"))
-    large = named.groupBy("cluster_id").agg(F.sum("n").alias("__n")).where(F.col("__n") >= least).select("cluster_id")
-    kept, _ = materialize(lookup_join(named, large, ["cluster_id"], "left_semi"), "clusters")
-    copied = nodes.where("n > 1").select("vec", F.col("id").alias("rep"))
-    copies = salted_join(rows.select("id", "vec"), copied, ["vec"], "inner", F.xxhash64("id")).where("id <> rep").select("id", "rep")
-    others = lookup_join(copies, kept.where("n > 1").select(F.col("id").alias("rep"), "cluster_id"), ["rep"], "inner")
-    return kept.select("cluster_id", "id").unionByName(others.select("cluster_id", "id"))
+    nodes, nodes_path = materialize(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
+    graph, graph_path = materialize(sparse_graph(nodes, size, radius, leaves, neighbours, threshold), "graph")
+    local = graph.where("size_a = 0").select(F.col("a").alias("id"), F.col("b").alias("group_id"))
+    groups, links = average_linkage(graph.where("size_a > 0"), threshold)
+    sets = connected(links.select("a", "b"))
+    named = nodes.join(local, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
+    for moved, c in ((groups, "group_id"), (sets, "set_id")):
+        named = named.withColumn(c, F.col("group_id"))
+        named = lookup_join(named, moved.select(F.col("node").alias(c), F.col("label").alias("__to")), [c]).withColumn(c, F.coalesce("__to", c)).drop("__to")
+    named, named_path = materialize(named, "named")
+    whole = named.groupBy("set_id").agg(F.sum("n").alias("__n"), F.min("id").alias("cluster_id")).where(F.col("__n") >= least).select("set_id", "cluster_id")
+    kept, kept_path = materialize(lookup_join(named, whole, ["set_id"], "inner"), "kept")
+    copied = kept.where("n > 1").select("vec", F.col("id").alias("rep"), "cluster_id", "group_id")
+    copies = salted_join(rows.select("id", "vec"), copied, ["vec"], "inner", F.xxhash64("id")).where("id <> rep")
+    out, _ = materialize(kept.select("cluster_id", "id", "group_id").unionByName(copies.select("cluster_id", "id", "group_id")), "clusters")
+    release(spark, nodes_path, graph_path, named_path, kept_path)
+    return out
 
 
 def described(members: DataFrame, rows: DataFrame, size: int, top: int = 3) -> DataFrame:
-    """(cluster_id, id, size, typical_rank): every member, the size of its cluster, and 1..top for the ids nearest to the cluster's mean."""
+    """(cluster_id, id, size, typical_rank, and other columns of members): every member, the size of its cluster, and 1..top for the ids nearest to the cluster's mean."""
+    more = [c for c in members.columns if c not in ("cluster_id", "id")]
     m, _ = materialize(members.join(rows.select("id", "vec"), "id"), "members")
     means = m.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array(*[F.avg(F.col("vec")[i]) for i in range(size)]).alias("mean"))
     means, _ = materialize(means, "means")
     d = F.round(F.aggregate(F.zip_with("vec", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y), 12)  # ties by id, not by the last bit
-    far = lookup_join(m, means, ["cluster_id"], "inner").select("cluster_id", "id", "size", d.alias("d"))
+    far = lookup_join(m, means, ["cluster_id"], "inner").select("cluster_id", "id", "size", *more, d.alias("d"))
     best = far.withColumn("typical_rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("d", "id"))).where(F.col("typical_rank") <= top)
-    return far.select("cluster_id", "id", "size").join(best.select("id", "typical_rank"), "id", "left").select("cluster_id", "id", "size", "typical_rank")
+    return far.drop("d").join(best.select("id", "typical_rank"), "id", "left").select("cluster_id", "id", "size", "typical_rank", *more)

@@ -57,11 +57,11 @@ def _log_theta(spark: SparkSession, d: str) -> tuple[DataFrame, int, object]:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows, total, sample = _log_theta(spark, d)
-    return clusters(rows, 10, 0.25, total, sample)
+    return clusters(rows, 10, 0.25, total, sample).select("cluster_id", "id")
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Every member with the size of its cluster, the three most typical members, and the coarse bucket it was in."""
+    """Every member with its tight group, the size of its cluster, the three most typical members, and the coarse bucket it was in."""
     rows, total, sample = _log_theta(spark, d)
     out = described(clusters(rows, 10, 0.25, total, sample), rows, 10)
     cells = spark.read.parquet(f"{d}/bulk_cells.parquet").select(F.col("col_id").alias("id"), "computed_at", "positions")
