@@ -99,3 +99,20 @@ def test_column_norms(spark):
     assert got == pytest.approx({(1, 1): 6.0, (2, 1): 8.0, (1, 2): 0.0, (1, 3): 10.0})
     got = {(r["row_id"], r["col_id"]): r["value"] for r in normalize.l1_columns(coo).collect()}
     assert got == pytest.approx({(1, 1): 3 / 7, (2, 1): 4 / 7, (1, 2): 0.0, (1, 3): 0.2})
+
+
+@pytest.mark.parametrize("dims", [2, 5, 24])
+def test_touched_leaves_lose_nothing(dims):
+    """Every vector within reach is in the row's own leaf or in one that it touches; few others are touched."""
+    from trigrid.functions.leaves import Leaves
+
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(0, 1, (900, dims)), rng.normal(0, 1, (30, dims))[rng.integers(0, 30, 600)] + rng.normal(0, 0.05, (600, dims))])
+    leaves = Leaves(x, len(x), 40)
+    home, d = leaves.home(x)
+    for reach in (0.05, 0.3, 1.0):
+        row, leaf = leaves.touched(home, d, reach)
+        held = set(zip(row.tolist(), leaf.tolist(), strict=True))
+        near = ((x[:, None] - x[None]) ** 2).sum(2) <= reach**2
+        assert all(home[i] == home[j] or (i, home[j]) in held for i, j in zip(*np.nonzero(near), strict=True))
+        assert len(leaves.c) > 20 and len(held) < len(x) * (len(leaves.c) - 1)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows the centroids and codebooks are fitted on at most; rows aimed at in a leaf; rows of a block (a leaf of more is split).
 SAMPLE, LEAF, BLOCK = 32_768, 1536, 4096
+#: Borders that are tried together.
+NEAR = 4
 
 
 def usable(v: Column, size: int, positive: bool = False) -> Column:
@@ -91,15 +93,30 @@ class Leaves:
         return d.argmin(1), d
 
     def touched(self, home: np.ndarray, d: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of the other leaves whose border is within reach of the row.
+        """(row, leaf) of the other leaves that may hold a vector within reach of the row.
 
-        If y is within reach of x and at home in leaf j, then x is within reach of the border between its leaf and j: nothing is lost.
+        If y is at home in leaf j, it is no farther from that centroid than from any other: it lies beyond the border between j and each
+        other leaf. If the way from x to one of these borders, or to what several of them leave together, is longer than reach, y isn't within reach of x:
+        nothing is lost. The border of x's own leaf is tried first, then those of the NEAR leaves nearest to x.
         """
         between = np.sqrt(squared(self.c, self.c))
         row = np.arange(len(home))
         gap = (d - d[row, home][:, None]) <= 2 * reach * between[home] * (1 + 1e-9) + 1e-12
         gap[row, home] = False
-        return np.nonzero(gap)
+        row, leaf = np.nonzero(gap)
+        near = np.argpartition(d, NEAR - 1, axis=1)[:, :NEAR] if d.shape[1] > NEAR else np.tile(np.arange(d.shape[1]), (len(d), 1))
+        keep = np.ones(len(row), bool)
+        for s in range(0, len(row), 20_000):
+            r, j = row[s : s + 20_000], leaf[s : s + 20_000]
+            other = near[r]
+            apart = np.maximum(between[j[:, None], other], 1e-300)
+            margin = np.maximum((d[r, j][:, None] - np.take_along_axis(d[r], other, 1)) / (2 * apart), 0)
+            margin[other == j[:, None]] = 0
+            w = margin / apart  # each border's normal counts by its margin
+            normal = w.sum(1)[:, None] * self.c[j] - np.einsum("nt,ntk->nk", w, self.c[other])
+            way = (margin**2).sum(1) / np.maximum(np.sqrt((normal**2).sum(1)), 1e-300)
+            keep[s : s + 20_000] = np.maximum(way, margin.max(1)) <= reach * (1 + 1e-6) + 1e-9
+        return row[keep], leaf[keep]
 
 
 def sample_of(rows: DataFrame, vec: str, key: list[str], size: int, total: int, n: int = SAMPLE) -> np.ndarray:
