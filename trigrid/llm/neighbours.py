@@ -23,6 +23,8 @@ from trigrid.llm.words import mix
 MATTERS, QUERIES = 0.4, 512
 #: A query with more candidates than this share of the block is reranked by a matrix product.
 DENSE = 0.1
+#: Rows aimed at in a leaf, and of a block: larger than elsewhere, as codes are scanned fast and fewer leaves mean fewer copies.
+LEAF, BLOCK = 3072, 8192
 #: Residuals that a codebook is fitted on at most. Queries that the number of probes is measured on at most, and the recall it has to reach on them.
 FITTED, MEASURED, RECALL = 8192, 256, 0.98
 #: Standard deviations of a neighbour's way towards a border that are followed into the other leaf (1 / reach of the lossless way).
@@ -309,7 +311,7 @@ def mutual_pairs(rows: DataFrame, size: int, k: int, radius: float, total: int,
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     if not len(sample):
         return rows.sparkSession.createDataFrame([], FOUND)
-    leaves = Leaves(sample, total)
+    leaves = Leaves(sample, total, leaf=LEAF, block=BLOCK)
     book = Codebook(sample - leaves.c[leaves.own])
     routed = rows.select("id", "vec").mapInArrow(_route(leaves, size, radius, lossless, k + 1, unit), ROUTED)
     found = routed.groupBy("leaf", "block").applyInArrow(_look(leaves, book, size, k, radius, k + 1, True), FOUND)
@@ -406,7 +408,7 @@ def search(queries: DataFrame, base: DataFrame, size: int, k: int, total: int, s
         return queries.sparkSession.createDataFrame([], FOUND + ", rank int")
     if unit:
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    leaves = leaves or Leaves(sample, total)
+    leaves = leaves or Leaves(sample, total, leaf=LEAF, block=BLOCK)
     book = Codebook(sample - leaves.c[squared(sample, leaves.c).argmin(1)])
     probes = probes_for(base, leaves, size, k, total, unit, recall) if recall < 1 else len(leaves.c)
     routed = base.select("id", "vec").mapInArrow(_route_base(leaves, size, k + 1, unit), ROUTED).unionByName(queries.select("id", "vec").mapInArrow(_route_queries(leaves, size, probes, unit), ROUTED))
