@@ -6,40 +6,56 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trigrid.llm.packing import TOKENIZER, encoding, pack, plan
-
-
-def placed(counts, capacity):
-    """Container of every (size, rank) by the runs."""
-    runs, n = plan(counts, capacity)
-    at = {}
-    for size, rank, number, first in runs.tolist():
-        for i in range(number):
-            assert (size, rank + i) not in at
-            at[size, rank + i] = first + i
-    assert set(at) == {(s, r) for s, c in counts.items() for r in range(c)}
-    assert all(0 <= c < n for c in at.values())
-    return at, n
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(0, 30), max_size=12))
-def test_plan_places_every_item_once(counts):
-    at, n = placed(counts, 40)
-    fill = np.zeros(n, int)
-    for (s, _), c in at.items():
-        fill[c] += s
-    assert (fill <= 40).all() and (fill > 0).all()
-    best = -(-sum(s * c for s, c in counts.items()) // 40)
-    assert n >= best and (n <= 1.7 * best + 1)
-
-
-def test_plan_fills_well():
-    rng = np.random.default_rng(3)
-    sizes = np.clip(rng.gamma(1.2, 120, 30_000).astype(int), 1, 2048)
-    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
-    _, n = placed(counts, 2048)
-    assert n <= 1.01 * (-(-sizes.sum() // 2048))
+from trigrid.llm.packing import TOKENIZER, across, best_fit, encoding, matched, pack
+
+
+def fills(spark, sizes, capacity, range_rows):
+    """Every item is in one container, none holds more than the capacity; the sums of the containers."""
+    down = sorted(sizes, reverse=True)
+    df = spark.createDataFrame(list(enumerate(down)), "item long, size long").repartition(3)
+    got = [tuple(r) for r in best_fit(df, capacity, range_rows)[0].collect()]
+    assert sorted(i for i, _ in got) == list(range(len(down)))
+    fill = np.bincount([c for _, c in got], [down[i] for i, _ in got])
+    assert (fill <= capacity).all() and (fill > 0).all()
+    return fill
+
+
+@pytest.mark.parametrize("range_rows", [30, 100_000])
+@pytest.mark.parametrize("sizes", [[40], [1] * 200, [21] * 9, [40, 40, 1], [3] * 50 + [37] * 20, [13] * 30 + [2] * 5], ids=lambda x: f"{len(x)}-items")
+def test_every_item_is_placed_once(spark, sizes, range_rows):
+    fill = fills(spark, sizes, 40, range_rows)
+    best = -(-sum(sizes) // 40)
+    assert len(fill) <= 1.7 * best + 1
+    if len(set(sizes)) == 1:
+        assert len(fill) == -(-len(sizes) // (40 // sizes[0]))
+
+
+def test_ranges_make_no_difference(spark):
+    """One range and many: as well filled, and near the least possible number of containers."""
+    sizes = np.clip(np.random.default_rng(3).gamma(1.2, 120, 3000).astype(int), 1, 2048).tolist()
+    best = -(-sum(sizes) // 2048)
+    one, many = (len(fills(spark, sizes, 2048, r)) for r in (100_000, 500))
+    assert best <= one <= 1.02 * best and best <= many <= 1.02 * best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.booleans(), max_size=60), st.lists(st.integers(0, 60), max_size=6))
+def test_ranges_match_as_the_whole(gap, cuts):
+    """What ranges match by themselves and across them is what one sweep matches."""
+    gap = np.array(gap, bool)
+    items, gaps = matched(gap)
+    whole = set(zip(items.tolist(), gaps.tolist(), strict=True))
+    edges = sorted({0, len(gap), *(c for c in cuts if c < len(gap))})
+    got, counts, left = set(), [], {}
+    for part, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        i, g = matched(gap[a:b])
+        got |= set(zip((i + a).tolist(), (g + a).tolist(), strict=True))
+        free = sorted(set(range(a, b)) - set((i + a).tolist()) - set((g + a).tolist()))
+        left[part] = ([x for x in free if gap[x]], [x for x in free if not gap[x]])
+        counts.append((part, len(left[part][0]), len(left[part][1])))
+    for part, at, n, q, last in across(counts):
+        got |= {(left[part][1][at + r], left[q][0][last - r]) for r in range(n)}
+    assert got == whole
 
 
 @pytest.fixture
@@ -49,8 +65,9 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("size", F.lit(1)).repartition(4)
 
 
-def test_pack(spark, docs):
-    got = pack(docs, capacity=256).collect()
+@pytest.mark.parametrize("range_rows", [150, 100_000])
+def test_pack(spark, docs, range_rows):
+    got = pack(docs, capacity=256, range_rows=range_rows).collect()
     e = encoding(TOKENIZER)
     want = sorted((r["doc_id"] is not None, r["doc_id"] or 0, len(e.encode_ordinary(r["text"])) if r["text"] else 0) for r in docs.collect())
     whole = sorted([(r["id"] is not None, r["id"] or 0, r["tokens"]) for r in got if r["piece"] == 0])
