@@ -151,35 +151,37 @@ def adjust_batches(y: DataFrame, z: DataFrame, sizes: DataFrame, batch_sizes: Da
     each is iterated on its own: the arrays of a row have one element for each bucket and batch, and no shuffle is needed between iterations.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     from trigrid.functions.numeric import digamma
 
-    s_ids = [r[0] for r in sizes.select("positions").orderBy("positions").collect()]  # at most 2^k buckets
-    b_ids = [r[0] for r in batch_sizes.select("batch").distinct().orderBy("batch").collect()]
-    size = np.zeros(len(s_ids))
-    for r in sizes.collect():
-        size[s_ids.index(r["positions"])] = r["size"]
-    n_bs = np.zeros((len(b_ids), len(s_ids)))
-    for r in batch_sizes.collect():
-        n_bs[b_ids.index(r["batch"]), s_ids.index(r["positions"])] = r["n"]
+    spark = y.sparkSession
+    by_bucket = sorted((r["positions"], r["size"]) for r in sizes.collect())  # at most 2^k buckets
+    s_ids, size = [s for s, _ in by_bucket], np.array([float(n) for _, n in by_bucket])
+    by_batch = batch_sizes.collect()  # one row for each batch and bucket
+    b_ids = sorted({r["batch"] for r in by_batch})
     at_s, at_b = {s: i for i, s in enumerate(s_ids)}, {b: i for i, b in enumerate(b_ids)}
-
-    tagged = y.select("row_id", F.lit("y").alias("kind"), F.col("positions").cast("string").alias("key"), "total")
-    tagged = tagged.unionByName(z.select("row_id", F.lit("z").alias("kind"), F.col("positions").cast("string").alias("key"), "total"))
-    tagged = tagged.unionByName(delta_sums.select("row_id", F.lit("d").alias("kind"), F.col("batch").alias("key"), "total"))
-    rows = tagged.groupBy("row_id").agg(F.collect_list(F.struct("kind", "key", "total")).alias("x"))  # 2 S + B entries a row
+    n_bs = np.zeros((len(b_ids), len(s_ids)))
+    for r in by_batch:
+        n_bs[at_b[r["batch"]], at_s[r["positions"]]] = r["n"]
+
+    # one place in the array of a row for each number: sums, counterfactual sums, batches
+    n_s, n_b = len(s_ids), len(b_ids)
+    s_at = F.broadcast(spark.createDataFrame(list(at_s.items()), "positions long, at int"))
+    b_at = F.broadcast(spark.createDataFrame(list(at_b.items()), "batch string, at int"))
+    placed = y.join(s_at, "positions").select("row_id", "at", "total")
+    placed = placed.unionByName(z.join(s_at, "positions").select("row_id", (F.col("at") + n_s).alias("at"), "total"))
+    placed = placed.unionByName(delta_sums.join(b_at, "batch").select("row_id", (F.col("at") + 2 * n_s).alias("at"), "total"))
+    rows = placed.groupBy("row_id").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("total"))  # 2 S + B entries a row
 
     def run(batches):
-        for pdf in batches:
-            n = len(pdf)
-            ys, zs, ds = np.zeros((n, len(s_ids))), np.zeros((n, len(s_ids))), np.zeros((n, len(b_ids)))
-            for i, entries in enumerate(pdf["x"]):
-                for e in entries:
-                    if e["kind"] == "d":
-                        ds[i, at_b[e["key"]]] = e["total"]
-                    else:
-                        (ys if e["kind"] == "y" else zs)[i, at_s[int(e["key"])]] = e["total"]
+        for b in batches:
+            n = b.num_rows
+            at, total = b.column("at"), b.column("total")
+            row = np.repeat(np.arange(n), at.value_lengths().to_numpy())
+            held = np.zeros((n, 2 * n_s + n_b))
+            held[row, at.flatten().to_numpy()] = total.flatten().to_numpy()
+            ys, zs, ds = held[:, :n_s], held[:, n_s : 2 * n_s], held[:, 2 * n_s :]
             delta, gamma = np.ones_like(ds), np.ones_like(ys)
             mu = np.ones_like(ys)
             da, db = ds + a0, np.ones_like(ds)
@@ -189,9 +191,10 @@ def adjust_batches(y: DataFrame, z: DataFrame, sizes: DataFrame, batch_sizes: Da
                 db = b0 + mu @ n_bs.T
                 delta = da / db
             log_delta = digamma(da) - np.log(db)
-            yield pd.DataFrame({"row_id": pdf["row_id"], "mu": list(mu), "gamma": list(gamma), "delta": list(delta), "log_delta": list(log_delta)})
+            lists = lambda x: pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * x.shape[1], np.ascontiguousarray(x).ravel())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), *(lists(x) for x in (mu, gamma, delta, log_delta))], names=["row_id", "mu", "gamma", "delta", "log_delta"])
 
-    out, _ = materialize(rows.mapInPandas(run, "row_id long, mu array<double>, gamma array<double>, delta array<double>, log_delta array<double>"), "adjusted")
+    out, _ = materialize(rows.mapInArrow(run, "row_id long, mu array<double>, gamma array<double>, delta array<double>, log_delta array<double>"), "adjusted")
     sk = F.array(*[F.lit(s) for s in s_ids])
     bk = F.array(*[F.lit(b) for b in b_ids])
     bulk = out.select("row_id", F.explode(F.arrays_zip(sk.alias("positions"), "mu", "gamma")).alias("z")).select("row_id", "z.positions", "z.mu", "z.gamma")

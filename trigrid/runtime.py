@@ -64,11 +64,17 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _scanned(plan) -> bool:
+    """Whether a logical plan only reads, filters and projects."""
+    if plan.nodeName() not in ("Project", "Filter", "LocalRelation", "LogicalRDD") and not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+        return False
+    children = plan.children()
+    return all(_scanned(children.apply(i)) for i in range(children.size()))
+
+
 def held(df: DataFrame) -> DataFrame:
     """df, written and read back if it is more than a scan, so that counting it doesn't compute it twice."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    costly = any(x in plan for x in ("Aggregate", "Join", "Window", "MapIn", "FlatMap", "Generate", "Sort"))
-    return materialize(df, "lookup")[0] if costly else df
+    return df if _scanned(df._jdf.queryExecution().optimizedPlan()) else materialize(df, "lookup")[0]
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", spread: Column | None = None, salts: int = SALTS) -> DataFrame:
@@ -83,7 +89,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table: broadcast if it was counted to have at most `rows` rows, else salted. Same rows either way."""
+    """Join a lookup table: broadcast if it was counted to have at most `rows` rows, else salted. Same rows either way.
+
+    The count runs when the join is defined, as the plan depends on it; a lookup that is more than a scan is written first and read by both.
+    """
     small = held(small)
     return big.join(F.broadcast(small), on, how) if fits(small, rows) else salted_join(big, small, on, how)
 
