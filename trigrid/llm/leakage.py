@@ -49,10 +49,11 @@ class Index:
 
     def __init__(self, ids: np.ndarray, texts: list[str], n_words: int, per_edit: int, q: int) -> None:
         self.ids, self.per_edit = ids, per_edit
-        self.runs: list[set[str]] = []
+        self.runs: list[dict[str, int]] = []  # the passages of each text and where they start in it, the last of equal ones
         for t in texts:
             w = t.split(" ")
-            self.runs.append({" ".join(w[i : i + n_words]) for i in range(len(w) - n_words + 1)})
+            at = np.cumsum([0, *(len(x) + 1 for x in w)]).tolist()
+            self.runs.append({" ".join(w[i : i + n_words]): at[i] for i in range(len(w) - n_words + 1)})
         length = np.array([len(x) for r in self.runs for x in r])
         budget = self.budget(length)
         owner = np.repeat(np.arange(len(self.runs)), [len(r) for r in self.runs])
@@ -77,6 +78,19 @@ class Index:
         """Edits that a passage may have."""
         return np.maximum(1, length // self.per_edit) if self.per_edit else length * 0
 
+    def possible(self, item: int, found: np.ndarray) -> list[str]:
+        """Passages of an item that have enough of their q-grams among those found (positions in self.codes) to be there with their edits."""
+        begin = self.start[item]
+        held = np.zeros(self.start[item + 1] - begin + 1, np.int64)
+        held[found - begin + 1] = 1
+        before = np.cumsum(held)
+        out = []
+        for run, at in self.runs[item].items():
+            need = len(run) + 1 - self.q * (int(self.budget(len(run))) + 1)
+            if before[at + len(run) - self.q + 1] - before[at] >= need:
+                out.append(run)
+        return out
+
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in codes, position in self.at) of all equal q-grams."""
         h = _grams(codes, self.q)
@@ -145,10 +159,15 @@ def aligned(codes: np.ndarray, other: np.ndarray, start: np.ndarray, end: np.nda
 def near(doc: str, run: str, edits: int) -> bool:
     """Whether run is a part of doc but for at most `edits` edits of characters: of edits + 1 pieces of it one is there unchanged."""
     cut = [len(run) * i // (edits + 1) for i in range(edits + 2)]
+    tried: set[int] = set()  # diagonals
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         at = doc.find(run[a:b])
         while at >= 0:
             low = at - a - edits
+            if low in tried:
+                at = doc.find(run[a:b], at + 1)
+                continue
+            tried.add(low)
             row = [0 if 0 <= low + c <= len(doc) else edits + 1 for c in range(2 * edits + 1)]  # by diagonal; the run may begin on any
             for i, x in enumerate(run):
                 new = []
@@ -194,8 +213,11 @@ def _search(name: str, pack, n_words: int, per_edit: int, most_q: int):
             out: list[tuple] = []
             if len(pos):
                 doc = np.searchsorted(begin, pos, "right") - 1
-                inside = pos + q < begin[doc + 1]
-                pos, k, doc = pos[inside], k[inside], doc[inside]
+                pair = doc * len(index.ids) + index.item[k]
+                enough = np.unique(pair, return_inverse=True, return_counts=True)
+                inside = (pos + q < begin[doc + 1]) & (enough[2][enough[1]] >= index.need[index.item[k]])
+                pos, k, doc, pair = pos[inside], k[inside], doc[inside], pair[inside]
+                by_pair = np.argsort(pair, kind="stable")
                 d, i, low, first, last = regions(doc, pos, index.item[k], index.at[k], q, index.need, edits)
                 score = np.zeros(len(d), np.int64)
                 order = np.argsort(last - first, kind="stable")
@@ -210,12 +232,15 @@ def _search(name: str, pack, n_words: int, per_edit: int, most_q: int):
                     if s >= least:
                         best[a, b] = max(s, best.get((a, b), 0))
                 split: dict[int, list[str]] = {}
+                sorted_pairs, at = pair[by_pair], index.at[k[by_pair]]
                 for (a, b), s in sorted(best.items()):
                     if a not in split:
                         w = docs[a].split(" ")
                         split[a] = [" ".join(w[x : x + n_words]) for x in range(len(w) - n_words + 1)]
                     shared = sum(x in runs[b] for x in split[a])
-                    out.append((doc_ids[a], int(index.ids[b]), s, shared, bool(shared) or any(near(docs[a], x, int(index.budget(len(x)))) for x in runs[b])))
+                    held = at[np.searchsorted(sorted_pairs, a * len(index.ids) + b, "left") : np.searchsorted(sorted_pairs, a * len(index.ids) + b, "right")]
+                    almost = bool(shared) or any(near(docs[a], x, int(index.budget(len(x)))) for x in index.possible(b, held))
+                    out.append((doc_ids[a], int(index.ids[b]), s, shared, almost))
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64() if c < 4 else pa.bool_()) for c in range(5)], names=["doc_id", "item_id", "score", "shared_runs", "near"])
 
         doc_ids: list = []

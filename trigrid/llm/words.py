@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 
 #: Soft hyphen, zero-width space, non-joiner, joiner, byte order mark.
-INVISIBLE = {0x00AD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None}
+INVISIBLE = re.compile("[\u00ad\u200b-\u200d\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -17,7 +17,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(INVISIBLE)
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     return _WORD.findall(text.lower())
 
 
