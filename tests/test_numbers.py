@@ -116,3 +116,13 @@ def test_touched_leaves_lose_nothing(dims):
         near = ((x[:, None] - x[None]) ** 2).sum(2) <= reach**2
         assert all(home[i] == home[j] or (i, home[j]) in held for i, j in zip(*np.nonzero(near), strict=True))
         assert len(leaves.c) > 20 and len(held) < len(x) * (len(leaves.c) - 1)
+
+
+def test_quantiles_of_many_equal_values(spark, monkeypatch):
+    monkeypatch.setattr(normalize, "GATHERED", 40)
+    rng = np.random.default_rng(3)
+    for x in (np.zeros((300, 2)), rng.integers(0, 3, (300, 2)).astype(float), np.concatenate([np.full((250, 2), 5.0), rng.normal(0, 1, (50, 2))]), rng.normal(0, 1, (300, 2))):
+        v = np.sort(x.ravel())
+        values = frame(spark, x).select(F.explode("v").alias("x"))
+        ranks = [0, 1, 37, 299, 300, 598, 599]
+        assert normalize._select(values, ranks, len(v)) == v[ranks].tolist()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -47,37 +49,45 @@ def standardize(vecs: DataFrame, k: int, v: str = "v", eps: float = 1e-8, centre
     return vecs.withColumn(v, F.array(*[(F.get(v, F.lit(i)) - F.lit(mu[i])) / F.lit(sd[i] + eps) for i in range(k)]))
 
 
-def _select(values: DataFrame, rank: int, n: int) -> float:
-    """The value at a 0-based rank of a column x: brackets by approximate percentiles, exact counts, then a bounded gather."""
-    low, high, below = -math.inf, math.inf, 0
-    inside = n
-    part = values
-    while inside > GATHERED:
-        q, step = (rank - below) / inside, 2e-3
-        lo, hi = part.agg(F.percentile_approx("x", [max(0.0, q - step), min(1.0, q + step)], 10_000)).first()[0]
-        c = part.agg(F.count_if(F.col("x") < lo).alias("a"), F.count_if(F.col("x") <= hi).alias("b")).first()
-        if c["a"] <= rank - below < c["b"]:
-            if lo == hi:
-                return lo
-            if c["b"] - c["a"] == inside:
-                break
-            low, high, below, inside = lo, hi, below + c["a"], c["b"] - c["a"]
-        elif rank - below < c["a"]:
-            high, inside = lo, c["a"]
-        else:
-            low, below, inside = hi, below + c["b"], inside - c["b"]
-        part = values.where((F.col("x") >= low) & (F.col("x") <= high)) if math.isfinite(low) or math.isfinite(high) else values
-    got = part.groupBy("x").count().orderBy("x")
-    for r in got.toLocalIterator():
-        if rank - below < r["count"]:
+def _stream(values: DataFrame, rank: int) -> float:
+    """The value at a rank of a column x with few distinct values in the way: counts by value, in order."""
+    for r in values.groupBy("x").count().orderBy("x").toLocalIterator():
+        if rank < r["count"]:
             return r["x"]
-        below += r["count"]
+        rank -= r["count"]
     raise ValueError("rank beyond the values")
 
 
+def _select(values: DataFrame, ranks: list[int], n: int) -> list[float]:
+    """The values at 0-based ranks of a column x: brackets by approximate percentiles and exact counts, all ranks in one pass each, then one bounded gather."""
+    x = F.col("x")
+    low, high, below, inside = ([v] * len(ranks) for v in (-math.inf, math.inf, 0, n))
+    stuck: set[int] = set()
+    within = lambda i: (x > low[i]) & (x <= high[i]) if math.isfinite(low[i]) else x <= high[i]
+    while open_ := [i for i in range(len(ranks)) if inside[i] > GATHERED and i not in stuck]:
+        share = [(r - b) / m for r, b, m in zip(ranks, below, inside, strict=True)]
+        p = values.agg(*[F.percentile_approx(F.when(within(i), x), [max(0.0, share[i] - 2e-3), min(1.0, share[i] + 2e-3)], 10_000).alias(f"p{i}") for i in open_]).first()
+        c = values.agg(*[F.count_if(within(i) & (x <= p[f"p{i}"][e])).alias(f"c{i}{e}") for i in open_ for e in (0, 1)]).first()
+        for i in open_:
+            (lo, hi), a, b, rank, before = p[f"p{i}"], c[f"c{i}0"], c[f"c{i}1"], ranks[i] - below[i], inside[i]
+            if rank < a:
+                high[i], inside[i] = lo, a
+            elif rank < b:
+                low[i], high[i], below[i], inside[i] = lo, hi, below[i] + a, b - a
+            else:
+                low[i], below[i], inside[i] = hi, below[i] + b, inside[i] - b
+            if inside[i] == before:  # many equal values
+                stuck.add(i)
+    out = {i: _stream(values.where(within(i)), ranks[i] - below[i]) for i in stuck}
+    if small := [i for i in range(len(ranks)) if i not in stuck]:
+        got = np.sort(values.where(reduce(lambda a, b: a | b, (within(i) for i in small))).toArrow().column(0).to_numpy())
+        out |= {i: float(got[np.searchsorted(got, low[i], "right") + ranks[i] - below[i]]) for i in small}
+    return [out[i] for i in range(len(ranks))]
+
+
 def quantile_bounds(vecs: DataFrame, q_low: float, q_high: float, v: str = "v") -> tuple[float, float] | None:
-    """The order statistics at ceil(q * n) (from 0) of all n cells of (id, v); the least and largest where out of range. None if empty."""
-    values = vecs.select(F.explode(v).alias("x"))
+    """The order statistics at ceil(q * n) (from 0) of all n cells of (id, v) that aren't null or NaN; the least and largest where out of range. None if empty."""
+    values = vecs.select(F.explode(v).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     r = values.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     n, lo, hi = r["n"], r["lo"], r["hi"]
     if not n:
@@ -85,7 +95,9 @@ def quantile_bounds(vecs: DataFrame, q_low: float, q_high: float, v: str = "v")
     p, q = math.ceil(q_low * n), math.ceil(q_high * n)
     if p >= q:
         return lo, hi
-    return (_select(values, p, n) if p < n else lo), (_select(values, q, n) if q < n else hi)
+    ranks = [k for k in (p, q) if k < n]
+    found = dict(zip(ranks, _select(values, ranks, n), strict=True)) if ranks else {}
+    return found.get(p, lo), found.get(q, hi)
 
 
 def quantile_clip(vecs: DataFrame, q_low: float = 0.01, q_high: float = 0.99, v: str = "v") -> DataFrame:

@@ -19,7 +19,7 @@ from trigrid.functions.special import digamma as digamma_column
 from trigrid.functions.vectors import v_add, v_log_softmax, v_sums
 from trigrid.operators.linalg import uniform_of
 from trigrid.operators.normalize import standardize as standardize_columns
-from trigrid.runtime import lookup_join, materialize, release
+from trigrid.runtime import BROADCAST_ROWS, lookup_join, materialize, release, salted_join
 
 #: Cells of a matrix that is brought to the driver at most.
 DENSE_CELLS = 20_000_000
@@ -302,16 +302,20 @@ def fit_larch(y: np.ndarray, depth: int, iterations: int = 100, a0: float = 1.0,
 # ---- any size: tables (id, a, b) of K-arrays ----
 
 
-def half_step(coo: DataFrame, own: str, other: str, factor: DataFrame, prior: DataFrame, k: int, stdize: bool, a0: float = 1.0, b0: float = 1.0) -> DataFrame:
+def half_step(coo: DataFrame, own: str, other: str, factor: DataFrame, prior: DataFrame, k: int, stdize: bool, a0: float = 1.0, b0: float = 1.0, n_other: int | None = None) -> DataFrame:
     """New (own, a, b) of one factor given the other (other, a, b) and the current values (own, a, b) in prior.
 
     coo's keys are row_id and col_id; own and other name them. One join (broadcast only within a counted size, else salted, as a feature may
     hold a large part of all triplets), one pre-aggregated sum of K + 1 numbers, one aggregate of K sums for the rates, and one for the
-    standardisation if asked. Every id of prior comes out: without triplets it gets the prior's shape.
+    standardisation if asked. Every id of prior comes out: without triplets it gets the prior's shape. n_other: the rows of factor, if they were counted.
     """
     log = F.zip_with("a", "b", lambda a, b: digamma_column(a) - F.log(b))
     rate = factor.select(F.zip_with("a", "b", lambda a, b: a / b).alias("m")).agg(v_sums("m", k).alias("rate"))
-    joined = lookup_join(coo, factor.select(other, log.alias("__l")), [other], "inner")
+    logs = factor.select(other, log.alias("__l"))
+    if n_other is None:
+        joined = lookup_join(coo, logs, [other], "inner")
+    else:
+        joined = coo.join(F.broadcast(logs), other) if n_other <= BROADCAST_ROWS else salted_join(coo, logs, [other], "inner")
     sums = joined.groupBy(own).agg(v_sums("__l", k, F.col("value")).alias("s"), F.sum("value").alias("y"))
     now = prior.select(own, log.alias("g")).join(sums, own, "left")
     y = F.coalesce("y", F.lit(0.0))
@@ -351,10 +355,10 @@ def fit_distributed(coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int, it
     theta_path: str | None = None
     trace: list[float] = []
     for t in range(iterations):
-        new, path = materialize(half_step(coo, "col_id", "row_id", beta, theta, k, n_rows >= n_cols, a0, b0), "theta")
+        new, path = materialize(half_step(coo, "col_id", "row_id", beta, theta, k, n_rows >= n_cols, a0, b0, n_rows), "theta")
         release(spark, theta_path)
         theta, theta_path = new, path
-        new, path = materialize(half_step(coo, "row_id", "col_id", theta, beta, k, n_cols > n_rows, a0, b0), "beta")
+        new, path = materialize(half_step(coo, "row_id", "col_id", theta, beta, k, n_cols > n_rows, a0, b0, n_cols), "beta")
         release(spark, beta_path)
         beta, beta_path = new, path
         if (t + 1) % every == 0 or t + 1 == iterations:

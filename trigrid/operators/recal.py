@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrid.functions.special import digamma
 from trigrid.functions.vectors import v_add, v_log_softmax, v_sums
+from trigrid.matrixset import MatrixSet
 from trigrid.operators.linalg import residual
 from trigrid.operators.normalize import l2_columns, moments, standardize, stretch
 from trigrid.operators.select import delta_rows
-from trigrid.runtime import lookup_join, materialize, release
+from trigrid.runtime import lookup_join, materialize, numbered, release
 
 
 def pmf_stat(coo: DataFrame, log_x: DataFrame, k: int, stretch_x: bool = True, log1p: bool = False, cell_norm: float = 0.0, softmax: bool = True, columns: DataFrame | None = None) -> DataFrame:
@@ -81,6 +82,21 @@ def pmf_regression(coo: DataFrame, log_beta: DataFrame, k: int, log_delta: DataF
     return pmf_theta(log_beta, stat, k, a0, b0, iterations, stretch_r)
 
 
+def pmf_regression_mtx(spark: SparkSession, header: str, log_beta: DataFrame, k: int, log_delta: DataFrame | None = None, k_delta: int = 0, **options) -> DataFrame:
+    """pmf_regression of a file set <header>.*: dictionaries are (name, v), matched with the rows of the file by name; the result has the columns' `name`, too.
+
+    Every column of the file comes out, empty ones with a zero sum. Of a name that the file has several times the rows add up.
+    """
+    from trigrid.operators.select import relocate
+
+    m = MatrixSet.from_mtx(spark, header)
+    names, _ = materialize(numbered(log_beta.select("name").where("name IS NOT NULL").distinct(), ["name"], "pos"), "names")
+    keyed = lambda x: x.join(names, "name").select(F.col("pos").alias("row_id"), "v")
+    coo, _ = materialize(relocate(m, names), "triplets")
+    out = pmf_regression(coo, keyed(log_beta), k, None if log_delta is None else keyed(log_delta), k_delta, columns=m.cols.select("col_id"), **options)
+    return out.join(m.cols.select(F.col("col_id").alias("id"), "name"), "id")
+
+
 def pmf_regression_cbind(batches: dict[str, DataFrame], log_beta: DataFrame, k: int, log_delta: DataFrame | None = None, k_delta: int = 0, stretch_beta: bool = True, stretch_r: bool = True, log1p: bool = False, a0: float = 1.0, b0: float = 1.0, iterations: int = 10) -> DataFrame:
     """(batch, id, theta, log_theta, ...) of several matrices with the same features; ids need to be unique within a batch only.
 

@@ -141,6 +141,64 @@ def s13_filter_columns(spark: SparkSession, d: str) -> DataFrame:
     return select.filter_columns_by_nnz(MatrixSet(v.coo(spark, d), m.rows, m.cols), 10).coo
 
 
+def _fileset(spark: SparkSession, d: str, name: str) -> tuple[str, dict[str, str]]:
+    """A file set of the counts whose columns keep their ids."""
+    m, header = v.matrix_set(spark, d), f"{shared_dir(spark)}/{name}"
+    c = v.counts(spark, d).where("row_id >= 1 AND col_id >= 1")
+    return header, mtx.write_fileset(MatrixSet(c, m.rows, m.cols), header)
+
+
+@query(f"WITH {Y}, {_TOP} SELECT row_id, k AS col_id, value FROM y JOIN t USING (col_id) WHERE row_id BETWEEN 1 AND (SELECT max(row_id) FROM matrix_rows)")
+def s14_read_mtx_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Five columns of a file set, in the requested order."""
+    header, files = _fileset(spark, d, "s14")
+    ids = [r["col_id"] for r in _fullest(v.counts(spark, d)).orderBy("new_col").collect()]
+    out, _ = materialize(mtx.read_matrix(spark, header, ids), "read")
+    release(spark, *files.values())
+    return out
+
+
+@query(f"WITH {Y}, {_TOP} SELECT row_id, {_DENSE} FROM y JOIN t USING (col_id) WHERE row_id BETWEEN 1 AND (SELECT max(row_id) FROM matrix_rows) GROUP BY row_id")
+def s15_read_mtx_dense(spark: SparkSession, d: str) -> DataFrame:
+    header, files = _fileset(spark, d, "s15")
+    ids = [r["col_id"] for r in _fullest(v.counts(spark, d)).orderBy("new_col").collect()]
+    out, _ = materialize(mtx.read_dense(spark, header, ids), "read")
+    release(spark, *files.values())
+    return out
+
+
+@query("SELECT * FROM (VALUES ('mtx', 'set.mtx.gz'), ('row', 'set.rows.gz'), ('col', 'set.cols.gz'), ('idx', 'set.mtx.gz.index')) t(part, path)")
+def s18_fileset(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(mtx.fileset("set").items()), "part string, path string")
+
+
+_LARGEST = "h AS (SELECT hdr FROM raw_mtx GROUP BY hdr ORDER BY count(*) DESC, hdr LIMIT 1)"
+
+
+@query(
+    rf"""WITH {_LARGEST}, l AS (SELECT line_no, line_id, regexp_split_to_array(trim(regexp_replace(raw_line, '\s+', ' ', 'g')), ' ') AS f FROM raw_mtx JOIN h USING (hdr) WHERE raw_line IS NOT NULL AND NOT starts_with(raw_line, '%')),
+n AS (SELECT *, row_number() OVER (ORDER BY line_no, line_id) AS k FROM l WHERE len(f) >= 3), dim AS (SELECT CAST(f[1] AS BIGINT) AS r, CAST(f[2] AS BIGINT) AS c FROM n WHERE k = 1),
+t AS (SELECT CASE WHEN regexp_full_match(f[1], '[0-9]+') THEN try_cast(f[1] AS BIGINT) END AS row_id, CASE WHEN regexp_full_match(f[2], '[0-9]+') THEN try_cast(f[2] AS BIGINT) END AS col_id, CASE WHEN regexp_full_match(f[3], '[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN try_cast(f[3] AS DOUBLE) END AS value FROM n WHERE k > 1)
+SELECT row_id, col_id, value FROM t, dim WHERE row_id BETWEEN 1 AND r AND col_id BETWEEN 1 AND c AND isfinite(value)"""
+)
+def s21_scan_malformed(spark: SparkSession, d: str) -> DataFrame:
+    """The largest of the raw files, with its comments, broken and incomplete lines: what a scan of the file keeps, with plain non-negative numbers."""
+    raw = v.table(spark, d, "raw_mtx")
+    hdr = raw.groupBy("hdr").count().orderBy(F.desc("count"), "hdr").first()["hdr"]
+    path = f"{shared_dir(spark)}/s21.mtx.gz"
+    lines = raw.where(F.col("hdr") == hdr).withColumn("name", F.coalesce("raw_line", F.lit("")))
+    mtx.write_names(lines, path, ["line_no", "line_id"])
+    out, _ = materialize(mtx.scan_triplets(spark, path), "scanned")
+    release(spark, path)
+    return out.where((F.col("value") >= 0) & (F.col("value") < float("inf")))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 2e0), (3::BIGINT, 1::BIGINT, 1e0), (2::BIGINT, 2::BIGINT, 4e0)) t(row_id, col_id, value)")
+def s24_in_memory(spark: SparkSession, d: str) -> DataFrame:
+    """A small matrix from arrays: triplets of the same cell add up."""
+    return mtx.from_arrays(spark, [1, 3, 2, 1], [1, 1, 2, 1], [1.5, 1.0, 4.0, 0.5], ["a", "b", "c"]).coo
+
+
 @query("SELECT row_id AS pos, coalesce(name, 'NA') AS line FROM matrix_rows")
 def s16_read_vector(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/s16.rows.gz"
@@ -228,6 +286,11 @@ def proj3_scalar_maps(spark: SparkSession, d: str) -> DataFrame:
     return v.coo(spark, d).select("row_id", "col_id", *[rounded(c()).alias(n) for n, (_, c) in _MAPS.items()])
 
 
+@query(f"WITH {M} SELECT row_id, col_id, round(lgamma(abs(value) + 0.5e0), 4) + 0e0 AS lgamma FROM m")
+def proj9_lgamma(spark: SparkSession, d: str) -> DataFrame:
+    return v.coo(spark, d).select("row_id", "col_id", rounded(sp.lgamma(F.abs("value") + 0.5)).alias("lgamma"))
+
+
 @query("SELECT count(*) AS n, CAST(sum(CASE WHEN value IS NOT NULL AND isfinite(value) THEN 1 ELSE 0 END) AS BIGINT) AS n_obs, round(sum(CASE WHEN value IS NOT NULL AND isfinite(value) THEN value ELSE 0 END), 3) AS total FROM coo")
 def proj7_observed(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("value")
@@ -467,10 +530,31 @@ def g1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_nearest(a, a, 10, 4, drop_self=True, probe_share=1.0).select("id", "match", F.round("distance", 4).alias("distance"))
 
 
-@query()
+def weights_sql(source: str, out: str) -> str:
+    """CTE out(id, match, distance, weight): weights of (id, match, distance), the line search as a recursion that ends where the gap grows."""
+    total = lambda lam: f"list_sum(list_transform(d, lambda x: exp(-x * {lam})))"
+    gap = lambda lam: f"log2(len(d)) - {total(lam)}"
+    return f"""{out}_d AS (SELECT id, list(distance - least_) AS d FROM (SELECT *, min(distance) OVER (PARTITION BY id) AS least_ FROM {source}) GROUP BY id),
+{out}_r AS (SELECT id, d, 10e0 AS lam, {gap('10e0')} AS f, 0 AS t FROM {out}_d UNION ALL
+SELECT id, d, step, g, t + 1 FROM (SELECT *, {gap('step')} AS g FROM (SELECT *, CASE WHEN f < 0 THEN lam * 1.1e0 ELSE lam * 0.9e0 END AS step FROM {out}_r)) WHERE len(d) > 1 AND t < 100 AND NOT abs(g) > abs(f)),
+{out}_l AS (SELECT id, arg_max(lam, t) AS lam, max(len(d)) AS n FROM {out}_r GROUP BY id),
+{out} AS (SELECT s.id, s.match, s.distance, exp(-(s.distance - min(s.distance) OVER (PARTITION BY s.id)) * lam) AS weight FROM {source} s JOIN {out}_l USING (id))"""
+
+
+@query(f"WITH RECURSIVE {_KNN}, ks AS (SELECT id, match, distance FROM kn WHERE id <> match), {weights_sql('ks', 'kw')} SELECT id, match, round(distance, 4) AS distance, round(weight, 4) AS weight FROM kw")
 def g2_weights(spark: SparkSession, d: str) -> DataFrame:
     a = materialize(v.loadings(spark, d), "loadings")[0]
-    return graph.match_weights(graph.k_nearest(a, a, 10, 4, drop_self=True))
+    return graph.match_weights(graph.k_nearest(a, a, 10, 4, drop_self=True)).select("id", "match", F.round("distance", 4).alias("distance"), F.round("weight", 4).alias("weight"))
+
+
+_SIDES = f"{v.long_loadings()}, w AS (SELECT id, list(v ORDER BY k) AS v FROM l GROUP BY id), nn AS (SELECT a.id, b.id AS match, sqrt(list_sum(list_transform(range(1, 11), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS distance FROM w a, w b WHERE a.id % 2 <> b.id % 2), kn AS (SELECT id, match, distance FROM nn QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, match) <= 3)"
+
+
+@query(f"WITH RECURSIVE {_SIDES}, {weights_sql('kn', 'kw')} SELECT CASE WHEN id % 2 = 1 THEN id ELSE match END AS src, CASE WHEN id % 2 = 1 THEN match ELSE id END AS dst, round(sum(weight), 4) AS weight FROM kw GROUP BY 1, 2")
+def g3_two_way(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with odd ids matched with those of even ids, from both sides."""
+    a = materialize(v.loadings(spark, d), "loadings")[0]
+    return graph.two_way_match(a.where("id % 2 = 1"), a.where("id % 2 = 0"), 10, 3).withColumn("weight", F.round("weight", 4))
 
 
 @query(f"WITH {EDGES}, b2 AS (SELECT least(src, dst) AS s, greatest(src, dst) AS t, count(*) AS n, sum(weight) AS w FROM e GROUP BY 1, 2) SELECT s AS src, t AS dst, round(w, 6) AS weight FROM b2 WHERE n > 1")

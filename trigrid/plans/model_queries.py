@@ -12,7 +12,8 @@ from trigrid.operators import bulk, cluster, edges, graph, linalg, normalize, pm
 from trigrid.plans import views as v
 from trigrid.plans.matrix_queries import signs_sql
 from trigrid.plans.views import BUCKETS, CELLS, EDGES, K, X, Y, rounded, wide, wide_sql
-from trigrid.runtime import materialize
+from trigrid.runtime import materialize, release, shared_dir
+from trigrid.sources.mtx import write_fileset
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -45,12 +46,12 @@ _POSITIONS = (
 )
 
 
-def _positions(spark: SparkSession, counts: DataFrame) -> DataFrame:
+def _positions(spark: SparkSession, counts: DataFrame, down: bool = False) -> DataFrame:
     q = linalg.project(counts.withColumn("value", F.round("value")), K, mode="rademacher")
     q, _ = materialize(q, "projected")
     s = q.agg(F.count("*").alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(K)]).first()
     centred = q.withColumn("v", F.array(*[F.get("v", F.lit(i)) * s["n"] - s[f"s{i}"] for i in range(K)]))
-    return materialize(bulk.bucketize(centred, K), "positions")[0]
+    return materialize(bulk.bucketize(centred, K, down), "positions")[0]
 
 
 @query(f"WITH {Y}, {_POSITIONS} SELECT id, positions FROM pos")
@@ -58,12 +59,10 @@ def b6_buckets(spark: SparkSession, d: str) -> DataFrame:
     return _positions(spark, y(spark, d))
 
 
-@query()
+@query(f"WITH {Y}, {_POSITIONS}, n AS (SELECT positions, count(*) AS n FROM pos GROUP BY positions) SELECT positions, least(n, 100) AS n FROM n UNION ALL SELECT NULL, CAST(sum(n - least(n, 100)) AS BIGINT) FROM n HAVING sum(n - least(n, 100)) > 0")
 def b6_down_sampled(spark: SparkSession, d: str) -> DataFrame:
-    """Buckets of at most 100 cells, drawn by hashes: cells and dropped cells by bucket."""
-    q = materialize(normalize.standardize(linalg.project(y(spark, d), K), K), "projected")[0]
-    b = bulk.bucketize(q, K, down=True)
-    return b.groupBy("positions").agg(F.count("*").alias("n"))
+    """Buckets of at most 100 cells, drawn by hashes: cells by bucket; those dropped have none."""
+    return _positions(spark, y(spark, d), True).groupBy("positions").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {Y}, {_POSITIONS} SELECT row_id, positions, round(sum(value), 4) AS total FROM y JOIN pos ON pos.id = y.col_id GROUP BY row_id, positions")
@@ -239,6 +238,22 @@ def r1_regression(spark: SparkSession, d: str) -> DataFrame:
     return wide(out, ["id"], "log_theta", K, "g")
 
 
+_R2 = "n AS (SELECT max(row_id) AS n FROM matrix_rows), yf AS (SELECT row_id, col_id, value FROM y, n WHERE row_id BETWEEN 1 AND n AND col_id >= 1), q AS (SELECT col_id, row_number() OVER (ORDER BY col_id) AS id FROM yf GROUP BY col_id)"
+
+
+@query(f"WITH {Y}, {_R2}, {X}, {v.clip_sql('x', 'xc')}, {v.standard_sql('xc', 'xz', 'row_id')}, s AS (SELECT q.id, k, sum(value * z) / greatest(sum(value), 1e0) AS v, sum(value) AS ysum FROM yf JOIN q USING (col_id) JOIN xz USING (row_id) GROUP BY q.id, k), {v.softmax_sql('s', 'r')}, {theta_sql(2, False)} {wide_sql('t2', 'id', K, digamma_sql('a') + ' - ln(b)', 'g')}")
+def r2_regression_mtx(spark: SparkSession, d: str) -> DataFrame:
+    """The recalibration of a file set without empty columns, features matched by name."""
+    c, header = y(spark, d), f"{shared_dir(spark)}/r2"
+    n = v.table(spark, d, "matrix_rows").agg(F.max("row_id")).first()[0]
+    names = spark.range(1, n + 1).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("name"))
+    files = write_fileset(MatrixSet(c.where(F.col("row_id").between(1, n) & (F.col("col_id") >= 1)), names, v.cells(spark, d)), header, drop_empty=True)
+    beta = v.dictionary(spark, d).select(F.col("row_id").cast("string").alias("name"), "v")
+    out, _ = materialize(recal.pmf_regression_mtx(spark, header, beta, K, stretch_r=False, iterations=2), "loadings")
+    release(spark, *files.values())
+    return wide(out, ["id"], "log_theta", K, "g")
+
+
 @query()
 def r10_regression_delta(spark: SparkSession, d: str) -> DataFrame:
     """All defaults, with the correlations of two batch effects regressed out."""
@@ -374,6 +389,16 @@ def f1_fit(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, f.beta, "beta").unionByName(_frame(spark, f.theta, "theta"))
 
 
+@query()
+def f10_svd_start(spark: SparkSession, d: str) -> DataFrame:
+    """The first beta from singular vectors, and the one drawn from the seed."""
+    p = _pb(spark, d)
+    drawn, svd = pmf.Gamma(len(p), K, 1.0, 1.0), pmf.Gamma(len(p), K, 1.0, 1.0)
+    pmf._start(drawn, np.random.default_rng(1337), 1.0)
+    pmf._start_svd(p, svd, 1.0)
+    return _frame(spark, drawn, "drawn").unionByName(_frame(spark, svd, "svd"))
+
+
 @query()
 def f2_fit_cbind(spark: SparkSession, d: str) -> DataFrame:
     p = _pb(spark, d)
@@ -450,6 +475,14 @@ def g5_balanced_knn(spark: SparkSession, d: str) -> DataFrame:
     return graph.balanced_knn(materialize(a, "vectors")[0], 10, 3)
 
 
+@query()
+def g7_interacting_two(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with a known batch matched with those without, by their statistics."""
+    c, cells = y(spark, d), v.cells(spark, d)
+    part = lambda cond: materialize(c.join(cells.where(cond).select("col_id"), "col_id", "left_semi"), "part")[0]
+    return graph.interacting_columns(part("batch <> 'none'"), part("batch = 'none'"), v.dictionary(spark, d), K, 5)
+
+
 @query()
 def g8_interacting_columns(spark: SparkSession, d: str) -> DataFrame:
     """Cells of the matrix matched with each other by their statistics."""

@@ -121,8 +121,9 @@ def write_mtx(coo: DataFrame, path: str, n_rows: int | None = None, n_cols: int
     return path
 
 
-def write_names(names: DataFrame, path: str, order: str) -> str:
-    _write_one(names.repartitionByRange(order).sortWithinPartitions(order).select(F.coalesce("name", F.lit("NA")).alias("value")), path)
+def write_names(names: DataFrame, path: str, order: str | list[str]) -> str:
+    by = [order] if isinstance(order, str) else order
+    _write_one(names.repartitionByRange(*by).sortWithinPartitions(*by).select(F.coalesce("name", F.lit("NA")).alias("value")), path)
     return path
 
 
@@ -154,6 +155,13 @@ def read_matrix(spark: SparkSession, header: str, columns: list[int] | None = No
     return read_columns(coo, columns)
 
 
+def read_dense(spark: SparkSession, header: str, columns: list[int]) -> DataFrame:
+    """(row_id, c1..cn): the given columns of a file set (no repeats) as a dense matrix; rows without entries are left out, missing cells are 0."""
+    from trigrid.operators.select import dense_columns
+
+    return dense_columns(read_matrix(spark, header, columns), len(columns))
+
+
 def from_arrays(spark: SparkSession, rows, cols, values, row_names: list[str]) -> MatrixSet:
     """An in-memory matrix: 1-based coordinates, values, row names."""
     import pandas as pd
