@@ -19,7 +19,7 @@ from trigrid.functions.special import digamma as digamma_column
 from trigrid.functions.vectors import v_add, v_log_softmax, v_sums
 from trigrid.operators.linalg import uniform_of
 from trigrid.operators.normalize import standardize as standardize_columns
-from trigrid.runtime import BROADCAST_ROWS, lookup_join, materialize, release, salted_join
+from trigrid.runtime import counted_join, lookup_join, materialize, release
 
 #: Cells of a matrix that is brought to the driver at most.
 DENSE_CELLS = 20_000_000
@@ -315,7 +315,7 @@ def half_step(coo: DataFrame, own: str, other: str, factor: DataFrame, prior: Da
     if n_other is None:
         joined = lookup_join(coo, logs, [other], "inner")
     else:
-        joined = coo.join(F.broadcast(logs), other) if n_other <= BROADCAST_ROWS else salted_join(coo, logs, [other], "inner")
+        joined = counted_join(coo, logs, [other], n_other, "inner")
     sums = joined.groupBy(own).agg(v_sums("__l", k, F.col("value")).alias("s"), F.sum("value").alias("y"))
     now = prior.select(own, log.alias("g")).join(sums, own, "left")
     y = F.coalesce("y", F.lit(0.0))

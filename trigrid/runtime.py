@@ -6,8 +6,11 @@ import atexit
 import io
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +24,7 @@ SALTS = 16
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
 _SHIPPED: set[str] = set()
+_SCRATCH = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +41,38 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[app]
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """Where a path is noted that was written: with the innermost scratch of this thread, else with the application."""
+    stack = getattr(_SCRATCH, "stack", None)
+    return stack[-1] if stack else _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[tuple[DataFrame, str]], DataFrame]]:
+    """All tables that materialize() writes within are deleted at its end, but for those given to the function it yields."""
+    if not hasattr(_SCRATCH, "stack"):
+        _SCRATCH.stack = []
+    _SCRATCH.stack.append(inner := [])
+    kept: list[str] = []
+
+    def keep(table: tuple[DataFrame, str]) -> DataFrame:
+        kept.append(table[1])
+        return table[0]
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.stack.pop()
+        release(spark, *(p for p in inner if p not in kept))
+        _written(spark).extend(kept)
+
+
 def materialize(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """Write df to the shared folder and return it read back, with its path. Cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trigrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -97,6 +127,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return big.join(F.broadcast(small), on, how) if fits(small, rows) else salted_join(big, small, on, how)
 
 
+def counted_join(big: DataFrame, small: DataFrame, on: list[str], n: int, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """lookup_join of a table that is known to have n rows: nothing runs."""
+    return big.join(F.broadcast(small), on, how) if n <= rows else salted_join(big, small, on, how)
+
+
 def current_rows(df: DataFrame, keys: list[str], latest: str, columns: list[str]) -> DataFrame:
     """The row with the largest `latest` of every key; exact copies count once.
 
