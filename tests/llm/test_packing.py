@@ -13,7 +13,7 @@ def fills(spark, sizes, capacity, range_rows):
     """Every item is in one container, none holds more than the capacity; the sums of the containers."""
     down = sorted(sizes, reverse=True)
     df = spark.createDataFrame(list(enumerate(down)), "item long, size long").repartition(3)
-    got = [tuple(r) for r in best_fit(df, capacity, range_rows)[0].collect()]
+    got = [tuple(r) for r in best_fit(df, capacity, range_rows).collect()]
     assert sorted(i for i, _ in got) == list(range(len(down)))
     fill = np.bincount([c for _, c in got], [down[i] for i, _ in got])
     assert (fill <= capacity).all() and (fill > 0).all()

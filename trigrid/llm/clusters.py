@@ -17,16 +17,17 @@ hash and the graph is contracted, until no edge is left: a logarithmic number of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trigrid.functions.leaves import Leaves, from_bytes, matrix, squared
 from trigrid.llm.neighbours import ROUTED, _spread, _vector_hash, ranked, to_bytes
 from trigrid.llm.words import mix
-from trigrid.runtime import lookup_join, materialize, release, salted_join
+from trigrid.runtime import counted_join, lookup_join, materialize, release, salted_join, scratch
 
 #: Nearest neighbours of a vector that the graph has from each block it meets; queries compared with a block at once.
 NEIGHBOURS, QUERIES = 5, 512
@@ -203,12 +204,17 @@ def _merged(edges: DataFrame) -> DataFrame:
     return e.groupBy("a", "b").agg(F.sum("total").alias("total"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
 
 
-def _renamed(labels: DataFrame | None, moves: DataFrame) -> DataFrame:
-    """Labels (node, label) after moves (node, label) of clusters."""
-    if labels is None:
-        return moves
-    to = moves.select(F.col("node").alias("label"), F.col("label").alias("__new"))
-    return lookup_join(labels, to, ["label"]).select("node", F.coalesce("__new", "label").alias("label")).unionByName(moves)
+def _ends(spark: SparkSession, moves: list[DataFrame]) -> DataFrame:
+    """(node, label): moves (node, label) of successive rounds, followed to their ends. A node moves once, so no way is longer than the number of rounds."""
+    if not moves:
+        return spark.createDataFrame([], "node long, label long")
+    now, path = materialize(reduce(DataFrame.unionByName, moves), "moves")
+    for _ in range((len(moves) - 1).bit_length()):
+        on = now.select(F.col("node").alias("label"), F.col("label").alias("__on"))
+        after, after_path = materialize(lookup_join(now, on, ["label"]).select("node", F.coalesce("__on", "label").alias("label")), "moves")
+        release(spark, path)
+        now, path = after, after_path
+    return now
 
 
 def average_linkage(edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +225,8 @@ def average_linkage(edges: DataFrame, threshold: float) -> tuple[DataFrame, Data
     """
     spark = edges.sparkSession
     now, path = materialize(_merged(edges), "edges")
-    labels, label_path = spark.createDataFrame([], "node long, label long"), None
+    done: list[DataFrame] = []
+    paths: list[str] = []
     mean = F.col("total") / (F.col("size_a") * F.col("size_b"))
     order = F.struct((-F.floor(mean * LEVELS + 1e-9)).alias("w"), F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"), F.col("b").alias("b"))
     while True:
@@ -227,18 +234,21 @@ def average_linkage(edges: DataFrame, threshold: float) -> tuple[DataFrame, Data
         best = ends.groupBy("node").agg(F.min(F.struct("e", "ok", "size")).alias("x"))
         pairs = best.where("x.ok").groupBy("x.e.a", "x.e.b").agg(F.count("*").alias("n"), F.max("x.size").alias("size")).where("n = 2")
         moves, moves_path = materialize(pairs.select("a", "b", "size"), "moves")
-        if moves.isEmpty():
-            release(spark, moves_path)
+        paths.append(moves_path)
+        n = moves.count()
+        if not n:
+            labels = _ends(spark, done)
+            release(spark, *paths)
             return labels, now
+        done.append(moves.select(F.col("b").alias("node"), F.col("a").alias("label")))
         gone = moves.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("to"), "size"), F.struct(F.col("b").alias("node"), F.col("a").alias("to"), "size"))).alias("m")).select("m.*")
         renamed = now
         for c in ("a", "b"):
             to = gone.select(F.col("node").alias(c), F.col("to").alias("__to"), F.col("size").alias("__size"))
-            renamed = lookup_join(renamed, to, [c]).withColumns({c: F.coalesce("__to", c), f"size_{c}": F.coalesce("__size", f"size_{c}")}).drop("__to", "__size")
+            renamed = counted_join(renamed, to, [c], 2 * n).withColumns({c: F.coalesce("__to", c), f"size_{c}": F.coalesce("__size", f"size_{c}")}).drop("__to", "__size")
         after, after_path = materialize(_merged(renamed), "edges")
-        new_labels, new_path = materialize(_renamed(labels, moves.select(F.col("b").alias("node"), F.col("a").alias("label"))), "labels")
-        release(spark, path, moves_path, label_path)
-        now, path, labels, label_path = after, after_path, new_labels, new_path
+        release(spark, path)
+        now, path = after, after_path
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -251,23 +261,27 @@ def connected(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     once = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now, path = materialize(once(edges), "links")
-    labels, label_path, turn = spark.createDataFrame([], "node long, label long"), None, 0
+    done: list[DataFrame] = []
+    paths: list[str] = []
     while not now.isEmpty():
-        h = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        h = lambda c: F.struct(F.xxhash64(F.lit(len(done)), F.col(c)).alias("h"), F.col(c).alias("id"))
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min(h("b")).alias("n")).select(F.col("a").alias("node"), F.least(h("a"), F.col("n"))["id"].alias("label"))
         first, first_path = materialize(least, "first")
-        on = lookup_join(first, first.select(F.col("node").alias("label"), F.col("label").alias("__on")), ["label"], "inner").select("node", F.col("__on").alias("label"))
+        n = first.count()
+        on = counted_join(first, first.select(F.col("node").alias("label"), F.col("label").alias("__on")), ["label"], n, "inner").select("node", F.col("__on").alias("label"))
         roots = first.where("node = label").select("label")
-        moves, moves_path = materialize(lookup_join(on.where("node <> label"), roots, ["label"], "left_semi").select("node", "label"), "moves")
+        moves, moves_path = materialize(counted_join(on.where("node <> label"), roots, ["label"], n, "left_semi").select("node", "label"), "moves")
         renamed = now
         for c in ("a", "b"):
-            renamed = lookup_join(renamed, moves.select(F.col("node").alias(c), F.col("label").alias("__to")), [c]).withColumn(c, F.coalesce("__to", c)).drop("__to")
+            renamed = counted_join(renamed, moves.select(F.col("node").alias(c), F.col("label").alias("__to")), [c], n).withColumn(c, F.coalesce("__to", c)).drop("__to")
         after, after_path = materialize(once(renamed), "links")
-        new_labels, new_path = materialize(_renamed(labels, moves), "labels")
-        release(spark, path, first_path, moves_path, label_path)
-        now, path, labels, label_path, turn = after, after_path, new_labels, new_path, turn + 1
-    release(spark, path)
+        release(spark, path, first_path)
+        done.append(moves)
+        paths.append(moves_path)
+        now, path = after, after_path
+    labels = _ends(spark, done)
+    release(spark, path, *paths)
     return labels
 
 
@@ -282,23 +296,22 @@ def clusters(rows: DataFrame, size: int, radius: float, total: int, sample: np.n
     if not len(sample):
         return spark.createDataFrame([], "cluster_id long, id long, group_id long")
     leaves = leaves or Leaves(sample, total)
-    nodes, nodes_path = materialize(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
-    graph, graph_path = materialize(sparse_graph(nodes, size, radius, leaves, neighbours, threshold), "graph")
-    local = graph.where("size_a = 0").select(F.col("a").alias("id"), F.col("b").alias("group_id"))
-    groups, links = average_linkage(graph.where("size_a > 0"), threshold)
-    sets = connected(links.select("a", "b"))
-    named = nodes.join(local, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
-    for moved, c in ((groups, "group_id"), (sets, "set_id")):
-        named = named.withColumn(c, F.col("group_id"))
-        named = lookup_join(named, moved.select(F.col("node").alias(c), F.col("label").alias("__to")), [c]).withColumn(c, F.coalesce("__to", c)).drop("__to")
-    named, named_path = materialize(named, "named")
-    whole = named.groupBy("set_id").agg(F.sum("n").alias("__n"), F.min("id").alias("cluster_id")).where(F.col("__n") >= least).select("set_id", "cluster_id")
-    kept, kept_path = materialize(lookup_join(named, whole, ["set_id"], "inner"), "kept")
-    copied = kept.where("n > 1").select("vec", F.col("id").alias("rep"), "cluster_id", "group_id")
-    copies = salted_join(rows.select("id", "vec"), copied, ["vec"], "inner", F.xxhash64("id")).where("id <> rep")
-    out, _ = materialize(kept.select("cluster_id", "id", "group_id").unionByName(copies.select("cluster_id", "id", "group_id")), "clusters")
-    release(spark, nodes_path, graph_path, named_path, kept_path)
-    return out
+    with scratch(spark) as keep:
+        nodes, _ = materialize(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
+        graph, _ = materialize(sparse_graph(nodes, size, radius, leaves, neighbours, threshold), "graph")
+        local = graph.where("size_a = 0").select(F.col("a").alias("id"), F.col("b").alias("group_id"))
+        groups, links = average_linkage(graph.where("size_a > 0"), threshold)
+        sets = connected(links.select("a", "b"))
+        named = nodes.join(local, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
+        for moved, c in ((groups, "group_id"), (sets, "set_id")):
+            named = named.withColumn(c, F.col("group_id"))
+            named = lookup_join(named, moved.select(F.col("node").alias(c), F.col("label").alias("__to")), [c]).withColumn(c, F.coalesce("__to", c)).drop("__to")
+        named, _ = materialize(named, "named")
+        whole = named.groupBy("set_id").agg(F.sum("n").alias("__n"), F.min("id").alias("cluster_id")).where(F.col("__n") >= least).select("set_id", "cluster_id")
+        kept, _ = materialize(lookup_join(named, whole, ["set_id"], "inner"), "kept")
+        copied = kept.where("n > 1").select("vec", F.col("id").alias("rep"), "cluster_id", "group_id")
+        copies = salted_join(rows.select("id", "vec"), copied, ["vec"], "inner", F.xxhash64("id")).where("id <> rep")
+        return keep(materialize(kept.select("cluster_id", "id", "group_id").unionByName(copies.select("cluster_id", "id", "group_id")), "clusters"))
 
 
 def described(members: DataFrame, rows: DataFrame, size: int, top: int = 3) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trigrid.runtime import materialize, numbered, release
+from trigrid.runtime import materialize, numbered, scratch
 
 CAPACITY = 2048
 #: A tokenizer file (ranks of a byte-level BPE); it has to be readable at this path on every executor.
@@ -150,15 +150,15 @@ def _live(state: DataFrame) -> DataFrame:
     return state.where((F.col("kind") == ITEM) | ((F.col("kind") == GAP) & (F.col("value") > 0))).unionByName(placed)
 
 
-def best_fit(items: DataFrame, capacity: int, range_rows: int = RANGE) -> tuple[DataFrame, list[str]]:
-    """(item, container_id) for every row of items (item: 0.. from the largest down, size: 1..capacity), and the tables it reads. Containers are numbered 0...
+def best_fit(items: DataFrame, capacity: int, range_rows: int = RANGE) -> DataFrame:
+    """(item, container_id) for every row of items (item: 0.. from the largest down, size: 1..capacity). Containers are numbered 0.., too.
 
     The driver sees four numbers for each range and round.
     """
     spark = items.sparkSession
     n, whole, large = items.agg(F.count("*"), F.sum("size"), F.sum((F.col("size") * 2 > capacity).cast("long"))).first()
     if not n:
-        return spark.createDataFrame([], "item long, container_id long"), []
+        return spark.createDataFrame([], "item long, container_id long")
     opened = min(n, max(large, -(-whole // capacity)))
     begun = F.col("item") < opened
     now = items.select(F.when(begun, GAP).otherwise(ITEM).alias("kind"), F.col("item").alias("id"), F.when(begun, F.lit(capacity) - F.col("size")).otherwise(F.col("size")).cast("long").alias("value")).where("value > 0")
@@ -183,7 +183,7 @@ def best_fit(items: DataFrame, capacity: int, range_rows: int = RANGE) -> tuple[
             at = F.element_at(F.create_map(*[F.lit(int(x)) for c, b in zip(counts, before, strict=False) for x in (c[0], b)]), F.col("part")) + F.col("seq")
             loose = state.where(F.col("kind") == ITEM).select("id", "value", at.alias("at")).withColumn("bundle", F.floor(F.col("at") / g))
             heads = loose.groupBy("bundle").agg(F.min(F.struct("at", "id"))["id"].alias("head"), F.sum("value").alias("size")) if g > 1 else loose.select("bundle", F.col("id").alias("head"), F.col("value").alias("size"))
-            heads, head_path = materialize(heads, "bundles")
+            heads, _ = materialize(heads, "bundles")
             if g > 1:
                 bundles.append(loose.join(heads, "bundle").where("id <> head").select(F.col("id").alias("item"), "head"))
             number = -(-remain // g)
@@ -191,7 +191,7 @@ def best_fit(items: DataFrame, capacity: int, range_rows: int = RANGE) -> tuple[
             start = F.col("bundle") < new
             container = F.col("bundle") + opened
             state, path = materialize(state.where(F.col("kind") == GAP).unionByName(heads.where(start).select(*_row(PLACED, "head", F.lit(capacity) - F.col("size"), container))).unionByName(heads.where(~start).select(*_row(ITEM, "head", "size"))), "opened")
-            paths += [head_path, path]
+            paths.append(path)
             opened += new
             left, rows = number - new, number + gaps
         elif runs:
@@ -204,11 +204,11 @@ def best_fit(items: DataFrame, capacity: int, range_rows: int = RANGE) -> tuple[
         now = _live(state)
     placed = items.where(begun).select("item", F.col("item").alias("container_id"))
     if paths:
-        rounds = spark.read.schema(STATE).parquet(*[p for p in paths if "trigrid-bundles-" not in p])
+        rounds = spark.read.schema(STATE).parquet(*paths)
         placed = placed.unionByName(rounds.where(F.col("kind") == PLACED).select(F.col("id").alias("item"), F.col("other").alias("container_id")))
     for members in reversed(bundles):
         placed = placed.unionByName(members.join(placed.withColumnRenamed("item", "head"), "head").select("item", "container_id"))
-    return placed, paths
+    return placed
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, range_rows: int = RANGE) -> DataFrame:
@@ -217,17 +217,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     A text of more than `capacity` tokens is split into full pieces and a rest; others stay whole. Texts without tokens
     (null, empty) come out with a null container_id and fill. Rows with the same or a null id are items of their own. No rows give none.
     """
-    spark = docs.sparkSession
-    sized, sized_path = materialize(token_counts(docs, doc_id, text, tokenizer).withColumn("row", F.monotonically_increasing_id()), "sizes")
     whole = F.col("tokens") > 0
     n_pieces = F.ceil(F.col("tokens") / F.lit(capacity)).cast("long")
-    pieces = sized.where(whole).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
-    pieces = pieces.select("id", "row", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece") * capacity).alias("size"))
-    ranked, ranked_path = materialize(numbered(pieces.withColumn("down", -F.col("size")), ["down", "row", "piece"], "item", 0).select("item", "id", "piece", "first_token", "size"), "items")
-    placed, paths = best_fit(ranked.select("item", "size"), capacity, range_rows)
-    empty = sized.where(~whole).select(F.lit(None).cast("long").alias("container_id"), "id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_token"), "tokens", F.lit(None).cast("double").alias("fill"))
-    fill = F.sum("tokens").over(Window.partitionBy("container_id")) / F.lit(float(capacity))
-    filled = ranked.join(placed, "item").select("container_id", "id", "piece", "first_token", F.col("size").alias("tokens")).withColumn("fill", fill)
-    out, _ = materialize(filled.unionByName(empty), "packed")
-    release(spark, sized_path, ranked_path, *paths)
-    return out
+    with scratch(docs.sparkSession) as keep:
+        sized, _ = materialize(token_counts(docs, doc_id, text, tokenizer).withColumn("row", F.monotonically_increasing_id()), "sizes")
+        pieces = sized.where(whole).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
+        pieces = pieces.select("id", "row", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece") * capacity).alias("size"))
+        ranked, _ = materialize(numbered(pieces.withColumn("down", -F.col("size")), ["down", "row", "piece"], "item", 0).select("item", "id", "piece", "first_token", "size"), "items")
+        placed = best_fit(ranked.select("item", "size"), capacity, range_rows)
+        empty = sized.where(~whole).select(F.lit(None).cast("long").alias("container_id"), "id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_token"), "tokens", F.lit(None).cast("double").alias("fill"))
+        fill = F.sum("tokens").over(Window.partitionBy("container_id")) / F.lit(float(capacity))
+        filled = ranked.join(placed, "item").select("container_id", "id", "piece", "first_token", F.col("size").alias("tokens")).withColumn("fill", fill)
+        return keep(materialize(filled.unionByName(empty), "packed"))
