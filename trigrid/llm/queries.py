@@ -121,11 +121,42 @@ n AS (SELECT DISTINCT list_id, line_no, array_to_string(w[1:2], '_') AS name FRO
 c AS (SELECT name, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(DISTINCT list_id) AS BIGINT) AS n_records FROM n GROUP BY name),
 m AS (SELECT *, n_records < 3 AS rare, n_records > 0.5 * (SELECT count(DISTINCT list_id) FROM row_lists) AS common FROM c)
 """
-# letters and digits in the sense of Unicode; what NFKC changes is the same in both engines
-_WORDS = r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(nfkc(text), '[\x{00AD}\x{200B}-\x{200D}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents)
-"""
+
+
+def _current(table: str, key: str, latest: str, vec: str, size: int, more: str = "") -> str:
+    """(id, v): the current usable vectors."""
+    good = " AND ".join(f"v[{i}] IS NOT NULL AND isfinite(v[{i}])" for i in range(1, size + 1))
+    return f"SELECT id, v FROM (SELECT {key} AS id, max(struct_pack(a := {latest}, b := {vec})).b AS v FROM {table} WHERE {key} IS NOT NULL GROUP BY {key}) WHERE len(v) = {size} AND {good}{more}"
+
+
+def _distance(size: int) -> str:
+    return " + ".join(f"(x.v[{i}] - y.v[{i}]) * (x.v[{i}] - y.v[{i}])" for i in range(1, size + 1))
+
+
+def _nearest(vectors: str, size: int) -> str:
+    """(id_a, id_b, d2): the three nearest of all pairs."""
+    pairs = f"SELECT x.id AS id_a, y.id AS id_b, {_distance(size)} AS d2 FROM {vectors} x JOIN {vectors} y ON x.id <> y.id"
+    return f"SELECT id_a, unnest(near).b AS id_b, unnest(near).d AS d2 FROM (SELECT id_a, min(struct_pack(d := d2, b := id_b), 3) AS near FROM ({pairs}) GROUP BY id_a)"
+
+
+def _mutual(kind: str, nearest: str, most: str) -> str:
+    return f"SELECT '{kind}' AS vec_kind, f.id_a, f.id_b FROM {nearest} f JOIN {nearest} g ON f.id_a = g.id_b AND f.id_b = g.id_a WHERE f.id_a < f.id_b AND f.d2 <= {most}"
+
+
+_THETA = _current("loading", "id", "fitted_at", "theta", 10, "".join(f" AND v[{i}] > 0" for i in range(1, 11)))
+_PROJ = _current("bulk_cells", "col_id", "computed_at", "rand_proj", 24, " AND (" + " OR ".join(f"v[{i}] <> 0" for i in range(1, 25)) + ")")
+_LENGTH = "sqrt(" + " + ".join(f"v[{i}] * v[{i}]" for i in range(1, 25)) + ")"
 SQL = {
+    # connected sets by handing on smaller ids
+    "p2_found": f"""WITH RECURSIVE w AS MATERIALIZED ({_current('loading', 'id', 'fitted_at', 'log_theta', 10)}),
+e AS MATERIALIZED (SELECT x.id AS s, y.id AS t FROM w x JOIN w y ON x.id <> y.id WHERE {_distance(10)} <= 0.0625e0),
+r(id, root) AS (SELECT id, id FROM w UNION SELECT e.t, r.root FROM r JOIN e ON e.s = r.id WHERE r.root < e.t),
+c AS (SELECT id, min(root) AS cluster_id FROM r GROUP BY id)
+SELECT cluster_id, id FROM c QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 3""",
+    "p3_found": f"""WITH t AS MATERIALIZED (SELECT id, list_transform(v, lambda z: ln(z)) AS v FROM ({_THETA})),
+p AS MATERIALIZED (SELECT id, list_transform(v, lambda z: z / n) AS v FROM (SELECT id, v, {_LENGTH} AS n FROM ({_PROJ}))),
+tn AS MATERIALIZED ({_nearest('t', 10)}), pn AS MATERIALIZED ({_nearest('p', 24)})
+{_mutual('theta', 'tn', '0.0625e0')} UNION ALL {_mutual('rand_proj', 'pn', '2e0 - 2e0 * 0.98e0')}""",
     "p4_found": _TERMS + "SELECT name, 'rare' AS mark FROM m WHERE rare UNION ALL SELECT name, 'common' AS mark FROM m WHERE common",
     "p4_terms": _TERMS + "SELECT name, n_lines, n_records, rare, common FROM m",
 }
