@@ -201,6 +201,50 @@ def test_adjustment_agrees_with_numpy(spark):
     assert all(e[i + 1, "uv"[j]] == pytest.approx(delta[i, j]) for i in range(6) for j in range(2))
 
 
+def test_several_matrices_agree_with_numpy(spark):
+    """Two rounds of the distributed fits of matrices beside and above each other, from the same start."""
+    rng = np.random.default_rng(4)
+    k, y = 3, rng.poisson(2.0, (14, 20)).astype(float)
+    y[3] = 0
+    to = lambda key, a, b: spark.createDataFrame([(i + 1, p, q) for i, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True))], f"{key} long, a array<double>, b array<double>")
+    ids = lambda key, n: spark.range(1, n + 1).withColumnRenamed("id", key)
+    make = lambda n: (rng.gamma(2, 1, (n, k)) + 0.5, rng.gamma(2, 1, (n, k)) + 0.5)
+    log = lambda g: numeric.digamma(g[0]) - np.log(g[1])
+    mean = lambda g: g[0] / g[1]
+    rho = lambda z, std: np.exp(numeric.log_softmax(numeric.standardize(z) if std else z))
+    half = lambda m, f, p, std: (m.sum(1)[:, None] * rho(m @ log(f) / np.maximum(m.sum(1), 1)[:, None] + log(p), std), np.ones((len(m), 1)) * mean(f).sum(0))
+
+    def check(got, want, key):
+        for r in got.collect():
+            assert np.allclose(r["a"], want[0][r[key] - 1]) and np.allclose(r["b"], want[1][r[key] - 1])
+
+    parts = {"p": y[:, :12], "q": y[:, 12:]}
+    beta, theta = make(14), {t: make(m.shape[1]) for t, m in parts.items()}
+    out = pmf.fit_cbind_distributed({t: coo_of(spark, m) for t, m in parts.items()}, ids("row_id", 14), {t: ids("col_id", m.shape[1]) for t, m in parts.items()}, k, 2, start=(to("row_id", *beta), {t: to("col_id", *g) for t, g in theta.items()}))
+    for _ in range(2):
+        a, b = np.ones_like(beta[0]), np.ones_like(beta[1])
+        for t, m in parts.items():
+            theta[t] = tuple(1 + x for x in half(m.T, beta, theta[t], True))
+            x = half(m, theta[t], beta, False)
+            a, b = a + x[0], b + x[1]
+        beta = (a, b)
+    check(out[0], beta, "row_id")
+    check(out[1]["q"], theta["q"], "col_id")
+
+    parts = {"p": y[:8], "q": y[8:]}
+    theta, betas = make(20), {t: make(len(m)) for t, m in parts.items()}
+    out = pmf.fit_rbind_distributed({t: coo_of(spark, m) for t, m in parts.items()}, {t: ids("row_id", len(m)) for t, m in parts.items()}, ids("col_id", 20), k, 2, start=({t: to("row_id", *g) for t, g in betas.items()}, to("col_id", *theta)))
+    for _ in range(2):
+        prior, total = theta, (np.ones_like(theta[0]), np.ones_like(theta[1]))
+        for t, m in parts.items():
+            x = half(m.T, betas[t], prior, False)
+            prior = total = (total[0] + x[0], total[1] + x[1])
+            betas[t] = tuple(1 + z for z in half(m, total, betas[t], True))
+        theta = total
+    check(out[1], theta, "col_id")
+    check(out[0]["p"], betas["p"], "row_id")
+
+
 def points(spark, x, **more):
     extra = [np.asarray(c).tolist() for c in more.values()]
     rows = list(zip(range(1, len(x) + 1), np.asarray(x, float).tolist(), *extra, strict=True))

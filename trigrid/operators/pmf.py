@@ -9,6 +9,7 @@ g ~ Gamma(a0 + sum y * rho, b0 + sums of the other factor's means).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -341,28 +342,107 @@ def likelihood(coo: DataFrame, beta: DataFrame, theta: DataFrame, k: int, n_rows
     return fit_.crossJoin(sb).crossJoin(st).select(((F.col("f") - whole) / F.lit(float(n_rows) * n_cols)).alias("llik"))  # one row each
 
 
-def fit_distributed(coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int, iterations: int = 10, a0: float = 1.0, b0: float = 1.0, seed: int = 1337, jitter: float = 1.0, every: int = 5, eps: float = 1e-8) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(beta (row_id, a, b), theta (col_id, a, b), likelihoods): coordinate updates over triplets of any number. rows (row_id), cols (col_id): all ids.
+def _drawn(ids: DataFrame, key: str, k: int, a0: float, b0: float, seed: int, jitter: float) -> DataFrame:
+    """A first factor drawn from hashes of the ids: Gamma(1, 1) by its inverse."""
+    draw = lambda i: F.lit(a0) - F.log(uniform_of([F.col(key), F.lit(i)], seed)) * F.lit(jitter)
+    return ids.select(key).distinct().select(key, F.array(*[draw(i) for i in range(k)]).alias("a"), F.array_repeat(F.lit(b0 + 1.0), k).alias("b"))
 
-    The first beta is drawn from hashes of the row ids (Gamma(1, 1) by its inverse). Each half-step is written to the shared folder, the one before is
-    deleted. The likelihood is computed every `every` rounds and at the end; the loop ends when it changes by less than eps, relatively.
-    """
-    spark = coo.sparkSession
-    n_rows, n_cols = rows.distinct().count(), cols.distinct().count()
-    draw = lambda i: F.lit(a0) - F.log(uniform_of([F.col("row_id"), F.lit(i)], seed)) * F.lit(jitter)
-    beta, beta_path = materialize(rows.select("row_id").distinct().select("row_id", F.array(*[draw(i) for i in range(k)]).alias("a"), F.array_repeat(F.lit(b0 + 1.0), k).alias("b")), "beta")
-    theta = cols.select("col_id").distinct().select("col_id", F.array_repeat(F.lit(float(a0)), k).alias("a"), F.array_repeat(F.lit(float(b0)), k).alias("b"))
-    theta_path: str | None = None
+
+class _Held:
+    """Factors written to the shared folder; the one before is deleted."""
+
+    def __init__(self) -> None:
+        self.at: dict[object, tuple[DataFrame, str]] = {}
+
+    def put(self, name: object, df: DataFrame) -> DataFrame:
+        new = materialize(df, "factor")
+        if name in self.at:
+            release(df.sparkSession, self.at[name][1])
+        self.at[name] = new
+        return new[0]
+
+    def __getitem__(self, name: object) -> DataFrame:
+        return self.at[name][0]
+
+
+def _rounds(step, score, iterations: int, every: int, eps: float) -> list[float]:
+    """The likelihood every few rounds and at the end; until it changes by less than eps, relatively."""
     trace: list[float] = []
     for t in range(iterations):
-        new, path = materialize(half_step(coo, "col_id", "row_id", beta, theta, k, n_rows >= n_cols, a0, b0, n_rows), "theta")
-        release(spark, theta_path)
-        theta, theta_path = new, path
-        new, path = materialize(half_step(coo, "row_id", "col_id", theta, beta, k, n_cols > n_rows, a0, b0, n_cols), "beta")
-        release(spark, beta_path)
-        beta, beta_path = new, path
+        step()
         if (t + 1) % every == 0 or t + 1 == iterations:
-            trace.append(likelihood(coo, beta, theta, k, n_rows, n_cols).first()[0])
+            trace.append(score())
             if len(trace) > 1 and abs(trace[-1] - trace[-2]) / abs(trace[-1] + eps) < eps:
                 break
-    return beta, theta, trace
+    return trace
+
+
+def fit_cbind_distributed(coos: dict[str, DataFrame], rows: DataFrame, cols: dict[str, DataFrame], k: int, iterations: int = 10, a0: float = 1.0, b0: float = 1.0, seed: int = 1337, jitter: float = 1.0, every: int = 5, eps: float = 1e-8, start: tuple[DataFrame, dict[str, DataFrame]] | None = None) -> tuple[DataFrame, dict[str, DataFrame], list[float]]:
+    """fit_cbind over triplets of any number: (beta (row_id, a, b), theta (col_id, a, b) by matrix, likelihoods).
+
+    rows (row_id): all rows; cols: all columns (col_id) of each matrix. Each round is two half-steps a matrix; what the matrices add to beta is summed in one aggregate.
+    """
+    d, n = rows.distinct().count(), {t: c.distinct().count() for t, c in cols.items()}
+    most, held = max(n.values()), _Held()
+    held.put("beta", start[0] if start else _drawn(rows, "row_id", k, a0, b0, seed, jitter))
+    for i, t in enumerate(coos):
+        held.put(t, start[1][t] if start else _drawn(cols[t], "col_id", k, a0, b0, seed + 1 + i, jitter))
+
+    def step() -> None:
+        beta, parts = held["beta"], []
+        for t, coo in coos.items():
+            theta = held.put(t, half_step(coo, "col_id", "row_id", beta, held[t], k, d >= most, a0, b0, d))
+            parts.append(half_step(coo, "row_id", "col_id", theta, beta, k, most > d, a0, b0, n[t]))
+        more = float(len(parts) - 1)
+        total = reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(v_sums("a", k).alias("a"), v_sums("b", k).alias("b"))
+        held.put("beta", total.select("row_id", F.transform("a", lambda x: x - more * a0).alias("a"), F.transform("b", lambda x: x - more * b0).alias("b")))
+
+    score = lambda: sum(likelihood(coo, held["beta"], held[t], k, d, n[t]).first()[0] for t, coo in coos.items())
+    trace = _rounds(step, score, iterations, every, eps)
+    return held["beta"], {t: held[t] for t in coos}, trace
+
+
+def fit_rbind_distributed(coos: dict[str, DataFrame], rows: dict[str, DataFrame], cols: DataFrame, k: int, iterations: int = 10, a0: float = 1.0, b0: float = 1.0, seed: int = 1337, jitter: float = 1.0, every: int = 5, eps: float = 1e-8, start: tuple[dict[str, DataFrame], DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame, list[float]]:
+    """fit_rbind over triplets of any number: (beta (row_id, a, b) by matrix, theta (col_id, a, b), likelihoods).
+
+    rows: all rows (row_id) of each matrix; cols (col_id): all columns. theta starts anew in each round and adds up over the matrices, one after the other.
+    """
+    d, n = {t: r.distinct().count() for t, r in rows.items()}, cols.distinct().count()
+    most, held = max(d.values()), _Held()
+    prior = F.array_repeat
+    held.put("theta", start[1] if start else cols.select("col_id").distinct().select("col_id", prior(F.lit(float(a0)), k).alias("a"), prior(F.lit(float(b0)), k).alias("b")))
+    for i, t in enumerate(coos):
+        held.put(t, start[0][t] if start else _drawn(rows[t], "row_id", k, a0, b0, seed + i, jitter))
+
+    def step() -> None:
+        for i, (t, coo) in enumerate(coos.items()):
+            new = half_step(coo, "col_id", "row_id", held[t], held["theta"], k, most >= n, a0, b0, d[t])
+            if i:
+                before = held["theta"].select("col_id", F.col("a").alias("__a"), F.col("b").alias("__b"))
+                add = lambda x, y, z: F.zip_with(x, y, lambda u, w: u + w - z)
+                new = new.join(before, "col_id").select("col_id", add("a", "__a", a0).alias("a"), add("b", "__b", b0).alias("b"))
+            theta = held.put("theta", new)
+            held.put(t, half_step(coo, "row_id", "col_id", theta, held[t], k, n > most, a0, b0, n))
+
+    score = lambda: sum(likelihood(coo, held[t], held["theta"], k, d[t], n).first()[0] for t, coo in coos.items())
+    trace = _rounds(step, score, iterations, every, eps)
+    return {t: held[t] for t in coos}, held["theta"], trace
+
+
+def fit_distributed(coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int, iterations: int = 10, a0: float = 1.0, b0: float = 1.0, seed: int = 1337, jitter: float = 1.0, every: int = 5, eps: float = 1e-8) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(beta (row_id, a, b), theta (col_id, a, b), likelihoods): coordinate updates over triplets of any number. rows (row_id), cols (col_id): all ids.
+
+    The first beta is drawn from hashes of the row ids. Each half-step is written to the shared folder, the one before is
+    deleted. The likelihood is computed every `every` rounds and at the end; the loop ends when it changes by less than eps, relatively.
+    """
+    n_rows, n_cols, held = rows.distinct().count(), cols.distinct().count(), _Held()
+    held.put("beta", _drawn(rows, "row_id", k, a0, b0, seed, jitter))
+    held.put("theta", cols.select("col_id").distinct().select("col_id", F.array_repeat(F.lit(float(a0)), k).alias("a"), F.array_repeat(F.lit(float(b0)), k).alias("b")))
+
+    def step() -> None:
+        theta = held.put("theta", half_step(coo, "col_id", "row_id", held["beta"], held["theta"], k, n_rows >= n_cols, a0, b0, n_rows))
+        held.put("beta", half_step(coo, "row_id", "col_id", theta, held["beta"], k, n_cols > n_rows, a0, b0, n_cols))
+
+    score = lambda: likelihood(coo, held["beta"], held["theta"], k, n_rows, n_cols).first()[0]
+    trace = _rounds(step, score, iterations, every, eps)
+    return held["beta"], held["theta"], trace

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -261,12 +263,23 @@ def r10_regression_delta(spark: SparkSession, d: str) -> DataFrame:
     return recal.pmf_regression(y(spark, d), v.dictionary(spark, d), K, delta, 2).select("id", "theta", "corr", "ysum")
 
 
-@query()
+def _batch_theta(name: str, cond: str) -> str:
+    """The CTEs of theta_sql for the cells of a batch, their names prefixed."""
+    ctes = re.sub(r"\b(bsum|[tlczwp]\d+(?:_[a-z]+)?)\b", rf"{name}_\1", theta_sql(10, True, f"{name}_in"))
+    return f"{name}_in AS (SELECT id, k, z AS lp, ysum FROM rz JOIN cells ON col_id = id WHERE {cond}), {ctes}"
+
+
+_R3 = f"{Y}, {CELLS}, {X}, {v.clip_sql('x', 'xc')}, {v.standard_sql('xc', 'xz', 'row_id')}, s AS (SELECT col_id AS id, k, sum(value * xz.z) / greatest(sum(value), 1e0) AS v, sum(value) AS ysum FROM y JOIN xz USING (row_id) WHERE col_id IN (SELECT col_id FROM cells) GROUP BY col_id, k), {v.softmax_sql('s', 'r')}, {v.standard_sql('r', 'rz', value='lp')}"
+_R3 = ", ".join([_R3, _batch_theta("known", "batch <> 'none'"), _batch_theta("none", "batch = 'none'")])
+
+
+@query(f"WITH {_R3} SELECT 'known' AS batch, * FROM ({wide_sql('known_t10', 'id', K, 'a / b', 't')}) UNION ALL SELECT 'none' AS batch, * FROM ({wide_sql('none_t10', 'id', K, 'a / b', 't')})")
 def r3_regression_cbind(spark: SparkSession, d: str) -> DataFrame:
     """Cells with and without a known batch as two matrices."""
     c, cells = y(spark, d), v.cells(spark, d)
     part = lambda cond: c.join(cells.where(cond).select("col_id"), "col_id", "left_semi")
-    return recal.pmf_regression_cbind({"known": part("batch <> 'none'"), "none": part("batch = 'none'")}, v.dictionary(spark, d), K).select("batch", "id", "theta")
+    out = recal.pmf_regression_cbind({"known": part("batch <> 'none'"), "none": part("batch = 'none'")}, v.dictionary(spark, d), K)
+    return wide(out, ["batch", "id"], "theta", K, "t")
 
 
 _LX = f"{v.long_loadings()}, {X}, cs AS (SELECT id, max(struct_pack(a := fitted_at, b := log_theta, c := colsum)).c AS colsum FROM loading GROUP BY id), r AS (SELECT l.id, k, v AS lp, colsum AS ysum FROM l JOIN cs ON cs.id = l.id WHERE colsum IS NOT NULL AND k <= {K})"
@@ -366,6 +379,25 @@ def f1_fit_distributed(spark: SparkSession, d: str) -> DataFrame:
     return theta
 
 
+@query()
+def f2_fit_cbind_distributed(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds over cells with and without a known batch, all triplets: the shared dictionary."""
+    c, cells = y(spark, d), v.cells(spark, d)
+    part = lambda cond: materialize(c.join(cells.where(cond).select("col_id"), "col_id", "left_semi"), "part")[0]
+    parts = {"known": part("batch <> 'none'"), "none": part("batch = 'none'")}
+    beta, _, _ = pmf.fit_cbind_distributed(parts, c.select("row_id"), {t: x.select("col_id") for t, x in parts.items()}, K, 2)
+    return beta
+
+
+@query()
+def f3_fit_rbind_distributed(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds over odd and even features of the same cells, all triplets: the shared loadings."""
+    c = y(spark, d)
+    parts = {str(i): c.where(F.col("row_id") % 2 == i) for i in (0, 1)}
+    _, theta, _ = pmf.fit_rbind_distributed(parts, {t: x.select("row_id") for t, x in parts.items()}, c.select("col_id"), K, 2)
+    return theta
+
+
 def _pb(spark: SparkSession, d: str, only=None) -> np.ndarray:
     """The pseudo-bulk over the recorded buckets, as a small dense matrix: features by buckets."""
     c = v.counts(spark, d)
