@@ -256,11 +256,24 @@ def r2_regression_mtx(spark: SparkSession, d: str) -> DataFrame:
     return wide(out, ["id"], "log_theta", K, "g")
 
 
-@query()
+def _correlations(x: str, out: str) -> str:
+    """CTEs <out>(id, k, lp, ysum): log-softmax of the statistics against the stretched dictionary x."""
+    return f"{v.clip_sql(x, f'{x}c')}, {v.standard_sql(f'{x}c', f'{x}z', 'row_id')}, {out}s AS (SELECT col_id AS id, k, sum(value * z) / greatest(sum(value), 1e0) AS v, sum(value) AS ysum FROM y JOIN {x}z USING (row_id) GROUP BY col_id, k), {v.softmax_sql(f'{out}s', out)}"
+
+
+# the projection on two standardised columns, by the inverse of their 2 x 2 products
+_R10 = f"""{Y}, {X}, xd AS (SELECT row_id, k, v / 2 AS v FROM x WHERE k <= 2), {_correlations('x', 'r')}, {_correlations('xd', 'rn')}, {v.standard_sql('rn', 'rnz', value='lp')},
+zz AS (SELECT id, max(CASE WHEN k = 1 THEN z END) AS z1, max(CASE WHEN k = 2 THEN z END) AS z2 FROM rnz GROUP BY id),
+aa AS (SELECT sum(z1 * z1) AS a11, sum(z1 * z2) AS a12, sum(z2 * z2) AS a22 FROM zz JOIN (SELECT DISTINCT id FROM r) USING (id)),
+cc AS (SELECT k, (max(a22) * sum(z1 * lp) - max(a12) * sum(z2 * lp)) / max(a11 * a22 - a12 * a12) AS c1, (max(a11) * sum(z2 * lp) - max(a12) * sum(z1 * lp)) / max(a11 * a22 - a12 * a12) AS c2 FROM r JOIN zz USING (id), aa GROUP BY k),
+res AS (SELECT r.id, r.k, lp - c1 * z1 - c2 * z2 AS v, ysum FROM r JOIN zz USING (id) JOIN cc ON cc.k = r.k), {v.clip_sql('res', 'rc')}, {v.standard_sql('rc', 'rcz')}"""
+
+
+@query(f"WITH {_R10}, {theta_sql(10, True, 'rcz', value='z')} {wide_sql('t10', 'id', K, 'a / b', 't')}")
 def r10_regression_delta(spark: SparkSession, d: str) -> DataFrame:
     """All defaults, with the correlations of two batch effects regressed out."""
     delta = v.dictionary(spark, d, 2).withColumn("v", F.transform("v", lambda x: x / 2))
-    return recal.pmf_regression(y(spark, d), v.dictionary(spark, d), K, delta, 2).select("id", "theta", "corr", "ysum")
+    return wide(recal.pmf_regression(y(spark, d), v.dictionary(spark, d), K, delta, 2), ["id"], "theta", K, "t")
 
 
 def _batch_theta(name: str, cond: str) -> str:
