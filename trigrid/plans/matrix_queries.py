@@ -10,7 +10,7 @@ from trigrid.functions.vectors import v_argmax, v_log_softmax, v_log_softmax_wei
 from trigrid.matrixset import MatrixSet
 from trigrid.operators import graph, linalg, normalize, select, stats, topics
 from trigrid.plans import views as v
-from trigrid.plans.views import BUCKETS, CELLS, EDGES, K, M, X, Y, rounded, wide, wide_sql
+from trigrid.plans.views import BUCKETS, CELLS, EDGES, K, M, X, X10, Y, rounded, wide, wide_sql
 from trigrid.runtime import materialize, release, shared_dir
 from trigrid.sources import mtx
 
@@ -491,28 +491,28 @@ def l6_products(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- topics, networks, graphs ----
 
-_TOPIC = f"{v.long_loadings('theta', True)}, {X}, bb AS (SELECT row_id, k, exp(v) AS v FROM x), u AS (SELECT k, greatest(sum(v), 1e-8) AS u FROM bb GROUP BY k), p AS (SELECT id, k, v * u AS v FROM l JOIN u USING (k)), dd AS (SELECT id, greatest(sum(v), 1e-8) AS depth FROM p GROUP BY id)"
+_TOPIC = f"{v.long_loadings('theta', True)}, {X10}, bb AS (SELECT row_id, k, exp(v) AS v FROM x), u AS (SELECT k, greatest(sum(v), 1e-8) AS u FROM bb GROUP BY k), p AS (SELECT id, k, v * u AS v FROM l JOIN u USING (k)), dd AS (SELECT id, greatest(sum(v), 1e-8) AS depth FROM p GROUP BY id)"
 
 
 def _topic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    beta = v.dictionary(spark, d).withColumn("v", F.transform("v", lambda x: F.exp(x)))
-    return topics.pmf_to_topic(beta, v.loadings(spark, d, "theta", True).withColumn("v", F.slice("v", 1, K)), K)
+    beta = v.dictionary(spark, d, 10).withColumn("v", F.transform("v", lambda x: F.exp(x)))
+    return topics.pmf_to_topic(beta, v.loadings(spark, d, "theta", True), 10)
 
 
-@query(f"WITH {_TOPIC}, q AS (SELECT id, k, v / depth AS v, depth FROM p JOIN dd USING (id)) {wide_sql('q', 'id, round(depth, 4)', K).replace('SELECT id, round(depth, 4)', 'SELECT id, round(depth, 4) AS depth')}")
+@query(f"WITH {_TOPIC}, q AS (SELECT id, k, v / depth AS v, depth FROM p JOIN dd USING (id)) {wide_sql('q', 'id, round(depth, 4)', 10).replace('SELECT id, round(depth, 4)', 'SELECT id, round(depth, 4) AS depth')}")
 def t1_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Proportions of the first topics of theta under the fixed dictionary."""
-    return wide(_topic(spark, d)[1].withColumn("depth", F.round("depth", 4)), ["id", "depth"], "v", K)
+    """Proportions of the topics of theta under the fixed dictionary."""
+    return wide(_topic(spark, d)[1].withColumn("depth", F.round("depth", 4)), ["id", "depth"], "v", 10)
 
 
-@query(f"WITH {X}, bb AS (SELECT row_id, k, exp(v) AS v FROM x), u AS (SELECT k, greatest(sum(v), 1e-8) AS u FROM bb GROUP BY k) {wide_sql('(SELECT row_id, k, v / u AS v FROM bb JOIN u USING (k))', 'row_id', K, digits=8)}")
+@query(f"WITH {X10}, bb AS (SELECT row_id, k, exp(v) AS v FROM x), u AS (SELECT k, greatest(sum(v), 1e-8) AS u FROM bb GROUP BY k) {wide_sql('(SELECT row_id, k, v / u AS v FROM bb JOIN u USING (k))', 'row_id', 10, digits=8)}")
 def t1_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return wide(_topic(spark, d)[0], ["row_id"], "v", K, digits=8)
+    return wide(_topic(spark, d)[0], ["row_id"], "v", 10, digits=8)
 
 
-@query(f"WITH {_TOPIC}, q AS (SELECT id, k, v / depth AS v FROM p JOIN dd USING (id)) SELECT id, round(sum(v * sin(k / {K}e0 * 2 * pi())), 4) + 0e0 AS xx, round(sum(v * cos(k / {K}e0 * 2 * pi())), 4) + 0e0 AS yy FROM q GROUP BY id")
+@query(f"WITH {_TOPIC}, q AS (SELECT id, k, v / depth AS v FROM p JOIN dd USING (id)) SELECT id, round(sum(v * sin(k / 10e0 * 2 * pi())), 4) + 0e0 AS xx, round(sum(v * cos(k / 10e0 * 2 * pi())), 4) + 0e0 AS yy FROM q GROUP BY id")
 def t2_project(spark: SparkSession, d: str) -> DataFrame:
-    return topics.project_proportions(_topic(spark, d)[1], K).select("id", rounded(F.col("xx")).alias("xx"), rounded(F.col("yy")).alias("yy"))
+    return topics.project_proportions(_topic(spark, d)[1], 10).select("id", rounded(F.col("xx")).alias("xx"), rounded(F.col("yy")).alias("yy"))
 
 
 @query("WITH RECURSIVE t(node, leaf) AS (SELECT CAST(8 + k AS BIGINT), CAST(k + 1 AS BIGINT) FROM range(0, 8) r(k) UNION ALL SELECT node // 2, leaf FROM t WHERE node > 1) SELECT node, leaf FROM t")

@@ -13,7 +13,7 @@ from trigrid.matrixset import MatrixSet
 from trigrid.operators import bulk, cluster, edges, graph, linalg, normalize, pmf, recal, simulate
 from trigrid.plans import views as v
 from trigrid.plans.matrix_queries import signs_sql
-from trigrid.plans.views import BUCKETS, CELLS, EDGES, K, X, Y, rounded, wide, wide_sql
+from trigrid.plans.views import BUCKETS, CELLS, EDGES, K, X, X10, Y, rounded, wide, wide_sql
 from trigrid.runtime import materialize, release, shared_dir
 from trigrid.sources.mtx import write_fileset
 
@@ -295,19 +295,19 @@ def r3_regression_cbind(spark: SparkSession, d: str) -> DataFrame:
     return wide(out, ["batch", "id"], "theta", K, "t")
 
 
-_LX = f"{v.long_loadings()}, {X}, cs AS (SELECT id, max(struct_pack(a := fitted_at, b := log_theta, c := colsum)).c AS colsum FROM loading GROUP BY id), r AS (SELECT l.id, k, v AS lp, colsum AS ysum FROM l JOIN cs ON cs.id = l.id WHERE colsum IS NOT NULL AND k <= {K})"
+_LX = f"{v.long_loadings()}, {X10}, cs AS (SELECT id, max(struct_pack(a := fitted_at, b := log_theta, c := colsum)).c AS colsum FROM loading GROUP BY id), r AS (SELECT l.id, k, v AS lp, colsum AS ysum FROM l JOIN cs ON cs.id = l.id WHERE colsum IS NOT NULL)"
 
 
-@query(f"WITH {_LX}, {theta_sql(2, False)} {wide_sql('t2', 'id', K, 'a / b', 't')}")
+@query(f"WITH {_LX}, {theta_sql(2, False)} {wide_sql('t2', 'id', 10, 'a / b', 't')}")
 def r4_topic_pmf(spark: SparkSession, d: str) -> DataFrame:
     """Loadings from given correlations (the stored logarithms) and column sums."""
     from trigrid.functions.leaves import usable
     from trigrid.runtime import current_rows
 
     c = current_rows(v.table(spark, d, "loading"), ["id"], "fitted_at", ["log_theta", "colsum"]).where(usable(F.col("log_theta"), 10) & F.col("colsum").isNotNull())
-    beta = v.dictionary(spark, d).withColumn("v", F.transform("v", lambda x: F.exp(x)))
-    out = recal.topic_pmf(beta, c.select("id", F.slice("log_theta", 1, K).alias("v"), F.col("colsum").alias("ysum")), K, iterations=2, stretch_r=False)
-    return wide(out, ["id"], "theta", K, "t")
+    beta = v.dictionary(spark, d, 10).withColumn("v", F.transform("v", lambda x: F.exp(x)))
+    out = recal.topic_pmf(beta, c.select("id", F.col("log_theta").alias("v"), F.col("colsum").alias("ysum")), 10, iterations=2, stretch_r=False)
+    return wide(out, ["id"], "theta", 10, "t")
 
 
 _R5 = f"{Y}, {X}, s AS (SELECT row_id % 2 AS view, col_id AS id, k, sum(value * v) / greatest(sum(value), 1e0) AS v, sum(value) AS ysum FROM y JOIN x USING (row_id) GROUP BY 1, 2, 3), sx AS (SELECT view * 1000000000 + id AS id, k, v, ysum FROM s), {v.softmax_sql('sx', 'rv')}"

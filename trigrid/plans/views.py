@@ -76,7 +76,7 @@ def wide(df: DataFrame, keys: list[str], v: str, k: int, prefix: str = "v", digi
 M = "m AS (SELECT row_id, col_id, sum(value) AS value FROM (SELECT DISTINCT * FROM coo) WHERE row_id IS NOT NULL AND col_id IS NOT NULL AND value IS NOT NULL AND isfinite(value) GROUP BY row_id, col_id)"
 Y = M + ", y AS (SELECT * FROM m WHERE value > 0)"
 CELLS = "cells AS (SELECT col_id, s.b AS name, coalesce(lower(trim(s.c)), 'none') AS batch FROM (SELECT col_id, max(struct_pack(a := registered_at, b := name, c := batch)) AS s FROM matrix_cols WHERE col_id IS NOT NULL GROUP BY col_id))"
-X = f"x AS (SELECT row_id, k, ln(CAST((row_id * (7 + 4 * k) + 5 * k) % 13 + 1 AS DOUBLE)) AS v FROM (SELECT DISTINCT row_id FROM matrix_rows), range(1, {K + 1}) t(k))"
+X, X10 = (f"x AS (SELECT row_id, k, ln(CAST((row_id * (7 + 4 * k) + 5 * k) % 13 + 1 AS DOUBLE)) AS v FROM (SELECT DISTINCT row_id FROM matrix_rows), range(1, {n + 1}) t(k))" for n in (K, 10))
 EDGES = "e AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT DISTINCT * FROM knn_edges WHERE src IS NOT NULL AND dst IS NOT NULL AND weight IS NOT NULL AND src <> dst) GROUP BY src, dst)"
 BUCKETS = "b AS (SELECT col_id AS id, max(struct_pack(a := computed_at, b := positions)).b AS positions FROM bulk_cells WHERE col_id IS NOT NULL GROUP BY col_id)"
 
