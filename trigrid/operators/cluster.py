@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigrid.functions.numeric import digamma, lgamma
+from trigrid.runtime import fits
+
+#: Rows of a chain at most.
+CHAIN_ROWS = 200_000
 
 
 class Component:
@@ -86,7 +90,12 @@ def gibbs(x: np.ndarray, k: int, alpha: float = 1.0, a0: float = 1e-2, b0: float
 
 
 def cluster_rows(rows: DataFrame, k: int, chains: int = 1, seed: int = 42, chain: str = "chain", **options) -> DataFrame:
-    """(chain, id, cluster, share): the most frequent cluster (from 1) of every row (id, v) and its share, one chain for each seed; a chain is one task, so rows are a summary (pseudo-bulk) of bounded size."""
+    """(chain, id, cluster, share): the most frequent cluster (from 1) of every row (id, v) and its share, one chain for each seed.
+
+    A chain is sequential by nature and one task, so rows are a summary (pseudo-bulk) of bounded size: more than CHAIN_ROWS are refused.
+    """
+    if not fits(rows, CHAIN_ROWS):
+        raise ValueError(f"more than {CHAIN_ROWS} rows for a chain: cluster a pseudo-bulk of them")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")

@@ -58,18 +58,28 @@ def times(vecs: DataFrame, m: np.ndarray) -> DataFrame:
     return vecs.withColumn("v", F.array(*[sum((F.get("v", F.lit(i)) * F.lit(float(m[i, j])) for i in range(k)), F.lit(0.0)) for j in range(p)]))
 
 
-def singular(vecs: DataFrame, k: int, rank: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(left vectors (id, v), singular values, right vectors): exact, by the eigenvectors of the k x k Gram matrix on the driver.
+def _spectrum(g: np.ndarray, rank: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, right vectors) from a Gram matrix.
 
     Directions with an eigenvalue below 1e-12 of the largest are dropped: they are arbitrary. Signs: the largest entry of a right vector is positive.
     """
-    w, u = np.linalg.eigh(gram(vecs, k))
+    w, u = np.linalg.eigh(g)
     order = np.argsort(-w)
     w, u = w[order], u[:, order]
     keep = w > max(w[0], 0) * 1e-12 if len(w) else w > 0
     w, u = w[keep][:rank], u[:, keep][:, :rank]
-    u = u * np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])
-    s = np.sqrt(w)
+    return np.sqrt(w), u * np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])
+
+
+def right_vectors(g: np.ndarray) -> np.ndarray:
+    """The matrix M for which v M are the left singular vectors of rows v with the Gram matrix g."""
+    s, u = _spectrum(g)
+    return u / s
+
+
+def singular(vecs: DataFrame, k: int, rank: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(left vectors (id, v), singular values, right vectors): exact, by the eigenvectors of the k x k Gram matrix on the driver."""
+    s, u = _spectrum(gram(vecs, k), rank)
     return times(vecs, u / s), s, u
 
 
