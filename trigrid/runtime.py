@@ -67,11 +67,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[tuple[DataFrame, str]], D
         _written(spark).extend(kept)
 
 
-def materialize(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
-    """Write df to the shared folder and return it read back, with its path. Cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and return it read back, with its path. Cuts the lineage and survives lost executors.
+
+    by: a column of few values, each written by itself, so that a filter on it reads nothing else.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trigrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
