@@ -78,25 +78,25 @@ def term_frequencies(df: DataFrame, term: Column, record: str, line: list[str])
     * light, of at most HEAVY_BYTES: rows are shuffled once, by term, and counted where they are: no such term is frequent.
     * longer terms aren't listed: they are shuffled by all columns and reduced step by step, so a frequent one is no hot spot either.
 
-    An empty table gives no rows.
+    The lines are read twice: for the counters, and to write the three parts, each by itself. An empty table gives no rows.
     """
     spark = df.sparkSession
     keys = ["record", *(f"__l{i}" for i in range(len(line)))]
     lines = df.select(term.alias("term"), F.col(record).alias("record"), *[F.col(c).alias(f"__l{i}") for i, c in enumerate(line)]).where("term IS NOT NULL")
     heavy = heavy_terms(lines.select("term"))
     listed = spark.createDataFrame(list(zip(heavy, range(len(heavy)), strict=True)), "term string, code int")
-    coded = lines.join(F.broadcast(listed), "term", "left")
+    known = F.col("code").isNotNull()
+    part = F.when(known, 0).when(F.octet_length("term") <= HEAVY_BYTES, 1).otherwise(2)
+    coded, _ = materialize(lines.join(F.broadcast(listed), "term", "left").select(F.when(~known, F.col("term")).alias("term"), "code", *keys, part.alias("part")), "lines", "part")
+    of = lambda n: coded.where(F.col("part") == n)
     count = lambda x, by: x.groupBy(*by).agg(F.count("*").alias("lines"))
     total = lambda x, by: x.groupBy(by).agg(F.sum("lines").alias("n_lines"), F.sum("records").alias("n_records"))
 
-    often = count(coded.where("code IS NOT NULL").select("code", *keys).distinct(), ["code", "record"]).select("code", "lines")
+    often = count(of(0).select("code", *keys).distinct(), ["code", "record"]).select("code", "lines")
     often = total(often.mapInArrow(_local_counts(len(heavy)), "code int, lines long, records long"), "code")
-    often = often.join(F.broadcast(listed), "code").select("term", "n_lines", "n_records")
-    rest = coded.where("code IS NULL").select("term", *keys)
-    short = F.octet_length("term") <= HEAVY_BYTES
-    out = often
-    for part in (rest.where(short).repartition("term"), rest.where(~short)):
-        out = out.unionByName(total(count(part.distinct(), ["term", "record"]).select("term", "lines", F.lit(1).alias("records")), "term"))
+    out = often.join(F.broadcast(listed), "code").select("term", "n_lines", "n_records")
+    for x in (of(1).select("term", *keys).repartition("term"), of(2).select("term", *keys)):
+        out = out.unionByName(total(count(x.distinct(), ["term", "record"]).select("term", "lines", F.lit(1).alias("records")), "term"))
     return out
 
 
