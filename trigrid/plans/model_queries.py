@@ -394,20 +394,20 @@ def f1_fit_distributed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f2_fit_cbind_distributed(spark: SparkSession, d: str) -> DataFrame:
-    """Two rounds over cells with and without a known batch, all triplets: the shared dictionary."""
+    """Cells with and without a known batch, all triplets: the shared dictionary."""
     c, cells = y(spark, d), v.cells(spark, d)
     part = lambda cond: materialize(c.join(cells.where(cond).select("col_id"), "col_id", "left_semi"), "part")[0]
     parts = {"known": part("batch <> 'none'"), "none": part("batch = 'none'")}
-    beta, _, _ = pmf.fit_cbind_distributed(parts, c.select("row_id"), {t: x.select("col_id") for t, x in parts.items()}, K, 2)
+    beta, _, _ = pmf.fit_cbind_distributed(parts, c.select("row_id"), {t: x.select("col_id") for t, x in parts.items()}, K)
     return beta
 
 
 @query()
 def f3_fit_rbind_distributed(spark: SparkSession, d: str) -> DataFrame:
-    """Two rounds over odd and even features of the same cells, all triplets: the shared loadings."""
+    """Odd and even features of the same cells, all triplets: the shared loadings."""
     c = y(spark, d)
     parts = {str(i): c.where(F.col("row_id") % 2 == i) for i in (0, 1)}
-    _, theta, _ = pmf.fit_rbind_distributed(parts, {t: x.select("row_id") for t, x in parts.items()}, c.select("col_id"), K, 2)
+    _, theta, _ = pmf.fit_rbind_distributed(parts, {t: x.select("row_id") for t, x in parts.items()}, c.select("col_id"), K)
     return theta
 
 
