@@ -12,7 +12,7 @@ from trigrid.functions.special import digamma_sql
 from trigrid.matrixset import MatrixSet
 from trigrid.operators import bulk, cluster, edges, graph, linalg, normalize, pmf, recal, simulate
 from trigrid.plans import views as v
-from trigrid.plans.matrix_queries import signs_sql
+from trigrid.plans.matrix_queries import signs_sql, weights_sql
 from trigrid.plans.views import BUCKETS, CELLS, EDGES, K, X, X10, Y, rounded, wide, wide_sql
 from trigrid.runtime import materialize, release, shared_dir
 from trigrid.sources.mtx import write_fileset
@@ -514,10 +514,13 @@ def g6_bbknn(spark: SparkSession, d: str) -> DataFrame:
     return graph.bbknn(a, 10)[0]
 
 
-@query()
+_G5 = f"{v.long_loadings()}, {CELLS}, w AS (SELECT l.id, any_value(batch) AS batch, list(v ORDER BY k) AS v FROM l JOIN cells ON cells.col_id = l.id GROUP BY l.id), nn AS (SELECT a.id, b.id AS match, b.batch, sqrt(list_sum(list_transform(range(1, 11), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS distance FROM w a, w b), kn AS (SELECT id, match, distance FROM (SELECT *, row_number() OVER (PARTITION BY id, batch ORDER BY distance, match) AS r FROM nn QUALIFY r <= 3) WHERE id <> match)"
+
+
+@query(f"WITH RECURSIVE {_G5}, {weights_sql('kn', 'kw')} SELECT id AS src, match AS dst, round(weight, 4) AS weight FROM kw")
 def g5_balanced_knn(spark: SparkSession, d: str) -> DataFrame:
     a = v.loadings(spark, d).join(v.cells(spark, d).select(F.col("col_id").alias("id"), "batch"), "id")
-    return graph.balanced_knn(materialize(a, "vectors")[0], 10, 3)
+    return graph.balanced_knn(materialize(a, "vectors")[0], 10, 3).withColumn("weight", F.round("weight", 4))
 
 
 @query()
