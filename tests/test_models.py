@@ -245,6 +245,38 @@ def test_several_matrices_agree_with_numpy(spark):
     check(out[0]["p"], betas["p"], "row_id")
 
 
+def test_delta_and_tree_agree_with_numpy(spark):
+    """Two rounds of the distributed fits with delta and over a tree, from the start that the fits on the driver draw."""
+    rng = np.random.default_rng(6)
+    to = lambda key, g: spark.createDataFrame([(i + 1, p, q) for i, (p, q) in enumerate(zip(g.a.tolist(), g.b.tolist(), strict=True))], f"{key} long, a array<double>, b array<double>")
+    ids = lambda key, n: spark.range(1, n + 1).withColumnRenamed("id", key)
+
+    def check(got, want, key):
+        for r in got.collect():
+            assert np.allclose(r["a"], want.a[r[key] - 1]) and np.allclose(r["b"], want.b[r[key] - 1])
+
+    for d, n in ((9, 16), (16, 9)):
+        ref, y = rng.poisson(2.0, (d, n)).astype(float), rng.poisson(3.0, (d, n)).astype(float)
+        k = 3
+        want = pmf.fit_delta(ref, [y, ref * 2], k, 2, eps=0.0)
+        beta = pmf.Gamma(d, k, 1.0, 1.0)
+        pmf._start(beta, np.random.default_rng(1337), 1.0)
+        flat = lambda m: pmf.Gamma(m, k, 1.0, 1.0)
+        b, t, deltas, llik = pmf.fit_delta_distributed(coo_of(spark, ref), {"p": coo_of(spark, y), "q": coo_of(spark, ref * 2)}, ids("row_id", d), ids("col_id", n), k, 2, start=(to("row_id", beta), to("col_id", flat(n)), {"p": to("row_id", flat(d)), "q": to("row_id", flat(d))}))
+        check(b, want.beta, "row_id")
+        check(t, want.theta, "col_id")
+        check(deltas["p"], want.delta[0], "row_id")
+        check(deltas["q"], want.delta[1], "row_id")
+        assert llik[-1] == pytest.approx(want.llik[-1])
+        want = pmf.fit_larch(y, 2, 2, eps=0.0)
+        beta = pmf.Gamma(d, 7, 1.0, 1.0)
+        pmf._start(beta, np.random.default_rng(1337), 1.0)
+        b, t, llik = pmf.fit_larch_distributed(coo_of(spark, y), ids("row_id", d), ids("col_id", n), 2, 2, start=(to("row_id", beta), to("col_id", pmf.Gamma(n, 4, 1.0, 1.0))))
+        check(b, want.beta, "row_id")
+        check(t, want.theta, "col_id")
+        assert llik[-1] == pytest.approx(want.llik[-1])
+
+
 def points(spark, x, **more):
     extra = [np.asarray(c).tolist() for c in more.values()]
     rows = list(zip(range(1, len(x) + 1), np.asarray(x, float).tolist(), *extra, strict=True))

@@ -8,19 +8,20 @@ g ~ Gamma(a0 + sum y * rho, b0 + sums of the other factor's means).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrid.functions.numeric import digamma, log_softmax, standardize
 from trigrid.functions.special import digamma as digamma_column
-from trigrid.functions.vectors import v_add, v_log_softmax, v_sums
+from trigrid.functions.vectors import v_add, v_log_softmax, v_log_softmax_weighted, v_mul, v_sums
 from trigrid.operators.linalg import uniform_of
 from trigrid.operators.normalize import standardize as standardize_columns
-from trigrid.runtime import counted_join, lookup_join, materialize, release
+from trigrid.runtime import counted_join, lookup_join, materialize, release, scratch
 
 #: Cells of a matrix that is brought to the driver at most.
 DENSE_CELLS = 20_000_000
@@ -348,16 +349,42 @@ def _drawn(ids: DataFrame, key: str, k: int, a0: float, b0: float, seed: int, ji
     return ids.select(key).distinct().select(key, F.array(*[draw(i) for i in range(k)]).alias("a"), F.array_repeat(F.lit(b0 + 1.0), k).alias("b"))
 
 
+def _flat(ids: DataFrame, key: str, k: int, a0: float, b0: float) -> DataFrame:
+    """A factor that is its prior."""
+    return ids.select(key).distinct().select(key, F.array_repeat(F.lit(float(a0)), k).alias("a"), F.array_repeat(F.lit(float(b0)), k).alias("b"))
+
+
+def _log(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: digamma_column(x) - F.log(y))
+
+
+def _mean(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x / y)
+
+
+def _pulled(coo: DataFrame, own: str, other: str, logs: DataFrame, prior: DataFrame, k: int, n_other: int) -> DataFrame:
+    """prior with y (the sum of its triplets) and s (of their products with the logarithms __l of `other`, by max(y, 1)); zeros without triplets."""
+    joined = counted_join(coo, logs, [other], n_other, "inner")
+    sums = joined.groupBy(own).agg(v_sums("__l", k, F.col("value")).alias("__s"), F.sum("value").alias("__y"))
+    y = F.coalesce("__y", F.lit(0.0))
+    s_ = F.transform(F.coalesce("__s", F.array_repeat(F.lit(0.0), k)), lambda x: x / F.greatest(y, F.lit(1.0)))
+    return prior.join(sums, own, "left").withColumns({"y": y, "s": s_}).drop("__s", "__y")
+
+
 class _Held:
     """Factors written to the shared folder; the one before is deleted."""
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
         self.at: dict[object, tuple[DataFrame, str]] = {}
 
-    def put(self, name: object, df: DataFrame) -> DataFrame:
-        new = materialize(df, "factor")
+    def put(self, name: object, make: Callable[[], DataFrame]) -> DataFrame:
+        """What make() defines; other tables that it writes are deleted, too."""
+        with scratch(self.spark) as keep:
+            new = materialize(make(), "factor")
+            keep(new)
         if name in self.at:
-            release(df.sparkSession, self.at[name][1])
+            release(self.spark, self.at[name][1])
         self.at[name] = new
         return new[0]
 
@@ -383,19 +410,23 @@ def fit_cbind_distributed(coos: dict[str, DataFrame], rows: DataFrame, cols: dic
     rows (row_id): all rows; cols: all columns (col_id) of each matrix. Each round is two half-steps a matrix; what the matrices add to beta is summed in one aggregate.
     """
     d, n = rows.distinct().count(), {t: c.distinct().count() for t, c in cols.items()}
-    most, held = max(n.values()), _Held()
-    held.put("beta", start[0] if start else _drawn(rows, "row_id", k, a0, b0, seed, jitter))
+    most, held = max(n.values()), _Held(rows.sparkSession)
+    held.put("beta", lambda: start[0] if start else _drawn(rows, "row_id", k, a0, b0, seed, jitter))
     for i, t in enumerate(coos):
-        held.put(t, start[1][t] if start else _drawn(cols[t], "col_id", k, a0, b0, seed + 1 + i, jitter))
+        held.put(t, lambda i=i, t=t: start[1][t] if start else _drawn(cols[t], "col_id", k, a0, b0, seed + 1 + i, jitter))
 
     def step() -> None:
-        beta, parts = held["beta"], []
+        beta = held["beta"]
         for t, coo in coos.items():
-            theta = held.put(t, half_step(coo, "col_id", "row_id", beta, held[t], k, d >= most, a0, b0, d))
-            parts.append(half_step(coo, "row_id", "col_id", theta, beta, k, most > d, a0, b0, n[t]))
-        more = float(len(parts) - 1)
-        total = reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(v_sums("a", k).alias("a"), v_sums("b", k).alias("b"))
-        held.put("beta", total.select("row_id", F.transform("a", lambda x: x - more * a0).alias("a"), F.transform("b", lambda x: x - more * b0).alias("b")))
+            held.put(t, lambda coo=coo, t=t: half_step(coo, "col_id", "row_id", beta, held[t], k, d >= most, a0, b0, d))
+
+        def total() -> DataFrame:
+            parts = [half_step(coo, "row_id", "col_id", held[t], beta, k, most > d, a0, b0, n[t]) for t, coo in coos.items()]
+            more = float(len(parts) - 1)
+            added = reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(v_sums("a", k).alias("a"), v_sums("b", k).alias("b"))
+            return added.select("row_id", F.transform("a", lambda x: x - more * a0).alias("a"), F.transform("b", lambda x: x - more * b0).alias("b"))
+
+        held.put("beta", total)
 
     score = lambda: sum(likelihood(coo, held["beta"], held[t], k, d, n[t]).first()[0] for t, coo in coos.items())
     trace = _rounds(step, score, iterations, every, eps)
@@ -408,40 +439,147 @@ def fit_rbind_distributed(coos: dict[str, DataFrame], rows: dict[str, DataFrame]
     rows: all rows (row_id) of each matrix; cols (col_id): all columns. theta starts anew in each round and adds up over the matrices, one after the other.
     """
     d, n = {t: r.distinct().count() for t, r in rows.items()}, cols.distinct().count()
-    most, held = max(d.values()), _Held()
-    prior = F.array_repeat
-    held.put("theta", start[1] if start else cols.select("col_id").distinct().select("col_id", prior(F.lit(float(a0)), k).alias("a"), prior(F.lit(float(b0)), k).alias("b")))
+    most, held = max(d.values()), _Held(cols.sparkSession)
+    held.put("theta", lambda: start[1] if start else _flat(cols, "col_id", k, a0, b0))
     for i, t in enumerate(coos):
-        held.put(t, start[0][t] if start else _drawn(rows[t], "row_id", k, a0, b0, seed + i, jitter))
+        held.put(t, lambda i=i, t=t: start[0][t] if start else _drawn(rows[t], "row_id", k, a0, b0, seed + i, jitter))
 
     def step() -> None:
         for i, (t, coo) in enumerate(coos.items()):
-            new = half_step(coo, "col_id", "row_id", held[t], held["theta"], k, most >= n, a0, b0, d[t])
-            if i:
+
+            def more(i=i, t=t, coo=coo) -> DataFrame:
+                new = half_step(coo, "col_id", "row_id", held[t], held["theta"], k, most >= n, a0, b0, d[t])
+                if not i:
+                    return new
                 before = held["theta"].select("col_id", F.col("a").alias("__a"), F.col("b").alias("__b"))
                 add = lambda x, y, z: F.zip_with(x, y, lambda u, w: u + w - z)
-                new = new.join(before, "col_id").select("col_id", add("a", "__a", a0).alias("a"), add("b", "__b", b0).alias("b"))
-            theta = held.put("theta", new)
-            held.put(t, half_step(coo, "row_id", "col_id", theta, held[t], k, n > most, a0, b0, n))
+                return new.join(before, "col_id").select("col_id", add("a", "__a", a0).alias("a"), add("b", "__b", b0).alias("b"))
+
+            theta = held.put("theta", more)
+            held.put(t, lambda t=t, coo=coo, theta=theta: half_step(coo, "row_id", "col_id", theta, held[t], k, n > most, a0, b0, n))
 
     score = lambda: sum(likelihood(coo, held[t], held["theta"], k, d[t], n).first()[0] for t, coo in coos.items())
     trace = _rounds(step, score, iterations, every, eps)
     return {t: held[t] for t in coos}, held["theta"], trace
 
 
+def fit_delta_distributed(ref: DataFrame, coos: dict[str, DataFrame], rows: DataFrame, cols: DataFrame, k: int, iterations: int = 10, a0: float = 1.0, b0: float = 1.0, seed: int = 1337, jitter: float = 1.0, every: int = 5, eps: float = 1e-8, start: tuple[DataFrame, DataFrame, dict[str, DataFrame]] | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], list[float]]:
+    """fit_delta over triplets of any number: (beta (row_id, a, b), theta (col_id, a, b), delta (row_id, a, b) by matrix, likelihoods)."""
+    d, n, held = rows.distinct().count(), cols.distinct().count(), _Held(ref.sparkSession)
+    by_row, by_col = n > d, d >= n
+    held.put("beta", lambda: start[0] if start else _drawn(rows, "row_id", k, a0, b0, seed, jitter))
+    held.put("theta", lambda: start[1] if start else _flat(cols, "col_id", k, a0, b0))
+    for t in coos:
+        held.put(t, lambda t=t: start[2][t] if start else _flat(rows, "row_id", k, a0, b0))
+    exp = lambda v: F.transform(v, lambda x: F.exp(x))
+
+    def both(t: str) -> DataFrame:
+        return held["beta"].select("row_id", _log("a", "b").alias("bl"), _mean("a", "b").alias("bm"), "a", "b").join(held[t].select("row_id", _log("a", "b").alias("dl"), _mean("a", "b").alias("dm")), "row_id")
+
+    def more_theta(t: str, coo: DataFrame) -> DataFrame:
+        x = both(t)
+        rate = x.select(v_mul(F.col("bm"), F.col("dm")).alias("m")).agg(v_sums("m", k).alias("rate"))
+        now = _pulled(coo, "col_id", "row_id", x.select("row_id", v_add(F.col("bl"), F.col("dl")).alias("__l")), held["theta"], k, d)
+        now = now.select("col_id", "a", "b", "y", v_add(F.col("s"), _log("a", "b")).alias("v"))
+        now = standardize_columns(materialize(now, "logits")[0], k) if by_col else now
+        rho = exp(v_log_softmax(F.col("v")))
+        return now.withColumn("rho", rho).crossJoin(F.broadcast(rate)).select("col_id", F.zip_with("a", "rho", lambda a, p: a + F.col("y") * p).alias("a"), v_add(F.col("b"), F.col("rate")).alias("b"))
+
+    def rows_of(t: str, coo: DataFrame) -> DataFrame:
+        """(row_id, a, b, da, db): beta with what the matrix adds, and its new delta."""
+        theta = held["theta"]
+        size = theta.select(_mean("a", "b").alias("m")).agg(v_sums("m", k).alias("size"))
+        now = _pulled(coo, "row_id", "col_id", theta.select("col_id", _log("a", "b").alias("__l")), both(t), k, n)
+        now = now.select("row_id", "a", "b", "bm", "y", v_add(F.col("s"), F.col("dl")).alias("z1"), v_add(F.col("s"), F.col("bl")).alias("z2"))
+        if by_row:
+            now = materialize(now, "logits")[0]
+            now = standardize_columns(standardize_columns(now, k, "z1"), k, "z2")
+        now = now.crossJoin(F.broadcast(size)).withColumn("r1", exp(v_log_softmax_weighted(F.col("z1"), F.col("bm"))))
+        scaled = lambda r, m: F.zip_with(r, m, lambda p, x: F.col("y") * p * x)
+        now = now.withColumns({"da": F.transform(scaled("r1", "bm"), lambda x: F.lit(float(a0)) + x), "db": F.transform(v_mul(F.col("bm"), F.col("size")), lambda x: F.lit(float(b0)) + x)})
+        now = now.withColumn("dm", _mean("da", "db")).withColumn("r2", exp(v_log_softmax_weighted(F.col("z2"), F.col("dm"))))
+        return now.select("row_id", v_add(F.col("a"), scaled("r2", "dm")).alias("a"), v_add(F.col("b"), v_mul(F.col("dm"), F.col("size"))).alias("b"), "da", "db")
+
+    def step() -> None:
+        held.put("theta", lambda: half_step(ref, "col_id", "row_id", held["beta"], held["theta"], k, by_col, a0, b0, d))
+        held.put("beta", lambda: half_step(ref, "row_id", "col_id", held["theta"], held["beta"], k, by_row, a0, b0, n))
+        for t, coo in coos.items():
+            held.put("theta", lambda t=t, coo=coo: more_theta(t, coo))
+            held.put("rows", lambda t=t, coo=coo: rows_of(t, coo))
+            held.put(t, lambda: held["rows"].select("row_id", F.col("da").alias("a"), F.col("db").alias("b")))
+            held.put("beta", lambda: held["rows"].select("row_id", "a", "b"))
+
+    def score() -> float:
+        out = likelihood(ref, held["beta"], held["theta"], k, d, n).first()[0]
+        for t, coo in coos.items():
+            x = both(t).select("row_id", v_mul(F.col("bm"), F.col("dm")).alias("a"), F.array_repeat(F.lit(1.0), k).alias("b"))
+            out += likelihood(coo, x, held["theta"], k, d, n).first()[0]
+        return out
+
+    trace = _rounds(step, score, iterations, every, eps)
+    return held["beta"], held["theta"], {t: held[t] for t in coos}, trace
+
+
+def fit_larch_distributed(coo: DataFrame, rows: DataFrame, cols: DataFrame, depth: int, iterations: int = 10, a0: float = 1.0, b0: float = 1.0, seed: int = 1337, jitter: float = 1.0, every: int = 5, eps: float = 1e-8, start: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
+    """fit_larch over triplets of any number: (beta (row_id, a, b) by node, theta (col_id, a, b) by leaf, likelihoods)."""
+    d, n, held = rows.distinct().count(), cols.distinct().count(), _Held(coo.sparkSession)
+    tree = tree_dependency(depth)
+    nodes, leaves = tree.shape
+    up = tree.sum(0)
+    by_row, by_col = n > d, d >= n
+    held.put("beta", lambda: start[0] if start else _drawn(rows, "row_id", nodes, a0, b0, seed, jitter))
+    held.put("theta", lambda: start[1] if start else _flat(cols, "col_id", leaves, a0, b0))
+    at_leaves = lambda c: F.array(*[sum((F.get(c, F.lit(i)) for i in range(nodes) if tree[i, j]), F.lit(0.0)) for j in range(leaves)])
+    at_nodes = lambda c: F.array(*[sum((F.get(c, F.lit(j)) for j in range(leaves) if tree[i, j]), F.lit(0.0)) for i in range(nodes)])
+    v = F.array(*[F.lit(float(x)) for x in up])
+    over = lambda x: F.zip_with(x, v, lambda a, b: a / b)
+    exp = lambda x: F.transform(x, lambda y: F.exp(y))
+
+    def columns() -> DataFrame:
+        beta = held["beta"].select("row_id", _log("a", "b").alias("l"), _mean("a", "b").alias("m"))
+        rate = beta.select(at_leaves("m").alias("m")).agg(v_sums("m", leaves).alias("rate"))
+        now = _pulled(coo, "col_id", "row_id", beta.select("row_id", at_leaves("l").alias("__l")), held["theta"], leaves, d)
+        now = now.select("col_id", "y", v_add(over(F.col("s")), _log("a", "b")).alias("v"))
+        now = standardize_columns(materialize(now, "logits")[0], leaves) if by_col else now
+        rho = exp(v_log_softmax_weighted(F.col("v"), v) if by_col else v_log_softmax(F.col("v")))
+        now = now.withColumn("rho", v_mul(rho, v)).crossJoin(F.broadcast(rate))
+        return now.select("col_id", F.transform("rho", lambda p: F.lit(float(a0)) + F.col("y") * p).alias("a"), F.transform("rate", lambda x: F.lit(float(b0)) + x).alias("b"))
+
+    def features() -> DataFrame:
+        theta = held["theta"].select("col_id", _log("a", "b").alias("__l"), _mean("a", "b").alias("m"))
+        rate = theta.agg(v_sums("m", leaves).alias("m")).select(at_nodes("m").alias("rate"))
+        prior = held["beta"].select("row_id", _log("a", "b").alias("l"))
+        now = _pulled(coo, "row_id", "col_id", theta.select("col_id", "__l"), prior, leaves, n)
+        now = now.select("row_id", "y", v_add(F.col("s"), over(at_leaves("l"))).alias("v"))
+        now = standardize_columns(materialize(now, "logits")[0], leaves) if by_row else now
+        now = now.withColumn("p", exp(v_log_softmax(F.col("v")) if by_row else v_log_softmax_weighted(F.col("v"), v))).withColumn("rho", at_nodes("p")).crossJoin(F.broadcast(rate))
+        return now.select("row_id", F.transform("rho", lambda p: F.lit(float(a0)) + F.col("y") * p).alias("a"), F.transform("rate", lambda x: F.lit(float(b0)) + x).alias("b"))
+
+    def step() -> None:
+        held.put("theta", columns)
+        held.put("beta", features)
+
+    def score() -> float:
+        leaf = held["beta"].select("row_id", at_leaves(_mean("a", "b")).alias("a"), F.array_repeat(F.lit(1.0), leaves).alias("b"))
+        return likelihood(coo, leaf, held["theta"], leaves, d, n).first()[0]
+
+    trace = _rounds(step, score, iterations, every, eps)
+    return held["beta"], held["theta"], trace
+
+
 def fit_distributed(coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int, iterations: int = 10, a0: float = 1.0, b0: float = 1.0, seed: int = 1337, jitter: float = 1.0, every: int = 5, eps: float = 1e-8) -> tuple[DataFrame, DataFrame, list[float]]:
     """(beta (row_id, a, b), theta (col_id, a, b), likelihoods): coordinate updates over triplets of any number. rows (row_id), cols (col_id): all ids.
 
     The first beta is drawn from hashes of the row ids. Each half-step is written to the shared folder, the one before is
     deleted. The likelihood is computed every `every` rounds and at the end; the loop ends when it changes by less than eps, relatively.
     """
-    n_rows, n_cols, held = rows.distinct().count(), cols.distinct().count(), _Held()
-    held.put("beta", _drawn(rows, "row_id", k, a0, b0, seed, jitter))
-    held.put("theta", cols.select("col_id").distinct().select("col_id", F.array_repeat(F.lit(float(a0)), k).alias("a"), F.array_repeat(F.lit(float(b0)), k).alias("b")))
+    n_rows, n_cols, held = rows.distinct().count(), cols.distinct().count(), _Held(coo.sparkSession)
+    held.put("beta", lambda: _drawn(rows, "row_id", k, a0, b0, seed, jitter))
+    held.put("theta", lambda: _flat(cols, "col_id", k, a0, b0))
 
     def step() -> None:
-        theta = held.put("theta", half_step(coo, "col_id", "row_id", held["beta"], held["theta"], k, n_rows >= n_cols, a0, b0, n_rows))
-        held.put("beta", half_step(coo, "row_id", "col_id", theta, held["beta"], k, n_cols > n_rows, a0, b0, n_cols))
+        held.put("theta", lambda: half_step(coo, "col_id", "row_id", held["beta"], held["theta"], k, n_rows >= n_cols, a0, b0, n_rows))
+        held.put("beta", lambda: half_step(coo, "row_id", "col_id", held["theta"], held["beta"], k, n_cols > n_rows, a0, b0, n_cols))
 
     score = lambda: likelihood(coo, held["beta"], held["theta"], k, n_rows, n_cols).first()[0]
     trace = _rounds(step, score, iterations, every, eps)

@@ -411,6 +411,22 @@ def f3_fit_rbind_distributed(spark: SparkSession, d: str) -> DataFrame:
     return theta
 
 
+@query()
+def f4_fit_delta_distributed(spark: SparkSession, d: str) -> DataFrame:
+    """All triplets with one other matrix of the same shape (roots of the counts): its delta."""
+    c = y(spark, d)
+    other = c.withColumn("value", F.sqrt("value"))
+    _, _, delta, _ = pmf.fit_delta_distributed(c, {"roots": other}, c.select("row_id"), c.select("col_id"), K)
+    return delta["roots"]
+
+
+@query()
+def f5_fit_larch_distributed(spark: SparkSession, d: str) -> DataFrame:
+    """All triplets over a tree of four leaves: the loadings."""
+    c = y(spark, d)
+    return pmf.fit_larch_distributed(c, c.select("row_id"), c.select("col_id"), 2)[1]
+
+
 def _pb(spark: SparkSession, d: str, only=None) -> np.ndarray:
     """The pseudo-bulk over the recorded buckets, as a small dense matrix: features by buckets."""
     c = v.counts(spark, d)
