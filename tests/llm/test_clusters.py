@@ -167,6 +167,27 @@ def test_spanning_edges():
     assert all(part[i] == part[j] for i, j in zip(*np.nonzero(d <= 0.09), strict=True))
 
 
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_nearest_within(monkeypatch, spread):
+    """In a dense group and a loose one: the k nearest, and the nearest in each part, ties by row."""
+    monkeypatch.setattr(clusters_module, "QUERIES", 16)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, spread, (50, 3)), rng.normal(0, spread, (70, 3))
+    y[5] = y[9]
+    x[0] = y[5]
+    part = rng.integers(0, 4, 70)
+    d = ((x[:, None] - y[None]) ** 2).sum(2)
+    want = set()
+    for i in range(50):
+        o = [j for j in np.lexsort((np.arange(70), d[i])) if d[i, j] <= 0.25]
+        want |= {(i, j) for j in o[:3]} | {(i, next(j for j in o if part[j] == p)) for p in set(part[o])}
+    i, j, got = clusters_module.nearest_within(x, y, 0.5, 3, part)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and np.allclose(got, d[i, j]) and len(i) == len(want)
+    d = ((y[:, None] - y[None]) ** 2).sum(2) + np.diag(np.full(70, np.inf))
+    i, j, _ = clusters_module.nearest_within(y, y, 0.5, 3)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(i, j) for i in range(70) for j in np.lexsort((np.arange(70), d[i]))[:3] if d[i, j] <= 0.25}
+
+
 def test_nothing_to_cluster(spark):
     empty = spark.createDataFrame([], "id long, vec array<double>")
     assert clusters(empty, 4, 0.25, 0, np.zeros((0, 4))).count() == 0

@@ -129,25 +129,36 @@ def _route(leaves: Leaves, size: int, radius: float):
     return run
 
 
-def nearest_within(x: np.ndarray, y: np.ndarray, radius: float, k: int, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, squared distance) of all pairs within the radius; of the k nearest of each row if `same`: x is y, itself left out."""
+def nearest_within(x: np.ndarray, y: np.ndarray, radius: float, k: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) within the radius: the k nearest of each row of x, ties by the row of y, and the nearest in each part of y.
+
+    Without parts, y is x, and a row is left out for itself. Few of the pairs of a dense group are looked at twice.
+    """
+    limit = radius**2
+    order = np.argsort(part, kind="stable") if part is not None else np.arange(len(y))
+    y = y[order]
+    if part is not None:
+        sizes = np.unique(part, return_counts=True)[1]
+        starts = np.cumsum(sizes) - sizes
+    slack = 1e-12 * (1 + max((x * x).sum(1).max(initial=0), (y * y).sum(1).max(initial=0)))  # of distances by a matrix product
+    up = lambda bound: bound * (1 + 1e-9) + slack
     out = []
     for s in range(0, len(x) if len(y) else 0, QUERIES):
         q = x[s : s + QUERIES]
         d = squared(q, y)
-        near = d <= radius**2 * (1 + 1e-6) + 1e-9
-        if same:
-            near[np.arange(len(q)), s + np.arange(len(q))] = False
-            if d.shape[1] > k + 1:
-                near &= d <= np.partition(d, k, axis=1)[:, k, None] * (1 + 1e-9) + 1e-9
-        i, j = np.nonzero(near)
+        if part is None:
+            d[np.arange(len(q)), s + np.arange(len(q))] = np.inf
+        near = d <= up(np.partition(d, k - 1, axis=1)[:, k - 1 : k]) if d.shape[1] > k else np.ones(d.shape, bool)
+        if part is not None:
+            near |= d <= np.repeat(up(np.minimum.reduceat(d, starts, axis=1)), sizes, axis=1)
+        i, j = np.nonzero(near & (d <= up(limit)))
         d = ((q[i] - y[j]) ** 2).sum(1)
-        held = d <= radius**2
-        i, j, d = i[held], j[held], d[held]
-        if same:
-            held = ranked(i, d, j) < k
-            i, j, d = i[held], j[held], d[held]
-        out.append((i + s, j, d))
+        held = d <= limit
+        i, j, d = i[held], order[j[held]], d[held]
+        keep = ranked(i, d, j) < k
+        if part is not None:
+            keep |= ranked(i * (int(part.max()) + 1) + part[j], d, j) < 1
+        out.append((i[keep] + s, j[keep], d[keep]))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -168,17 +179,14 @@ def _link(size: int, radius: float, k: int, threshold: float):
             order = np.argsort(ids[own])
             base, base_ids, base_role = x[own][order], ids[own][order], role[own][order]
             i, j, d2, part = spanning_edges(base, radius)
-            i2, j2, d3 = nearest_within(base, base, radius, k, True)
+            i2, j2, d3 = nearest_within(base, base, radius, k)
             i, j, d2 = np.concatenate([i, i2]), np.concatenate([j, j2]), np.concatenate([d2, d3])
             once = np.unique(np.minimum(i, j) * len(base) + np.maximum(i, j), return_index=True)[1]
             i, j, d2 = i[once], j[once], d2[once]
             names, label, u, v, t, nu, nv = merge_rounds(base_ids[i], base_ids[j], similarity(d2, radius), threshold, base_ids[base_role == OPEN])
             moved = names != label
             q, q_ids = x[~own], ids[~own]
-            r, c, d = nearest_within(q, base, radius, k)
-            nearest = ranked(r, d, base_ids[c]) < k  # the nearest, and the shortest way to each part
-            nearest |= ranked(r * (int(part.max()) + 1) + part[c], d, base_ids[c]) < 1
-            r, c, d = r[nearest], c[nearest], d[nearest]
+            r, c, d = nearest_within(q, base, radius, k, part)  # base is in the order of its ids
             one, zero = np.ones(len(r), np.int64), np.zeros(int(moved.sum()), np.int64)
             a, b = np.concatenate([names[moved], u, q_ids[r]]), np.concatenate([label[moved], v, base_ids[c]])
             total = np.concatenate([zero.astype(float), t, similarity(d, radius)])
