@@ -148,10 +148,13 @@ def nearest_within(x: np.ndarray, y: np.ndarray, radius: float, k: int, part: np
         d = squared(q, y)
         if part is None:
             d[np.arange(len(q)), s + np.arange(len(q))] = np.inf
-        near = d <= up(np.partition(d, k - 1, axis=1)[:, k - 1 : k]) if d.shape[1] > k else np.ones(d.shape, bool)
-        if part is not None:
-            near |= d <= np.repeat(up(np.minimum.reduceat(d, starts, axis=1)), sizes, axis=1)
-        i, j = np.nonzero(near & (d <= up(limit)))
+        near = d <= up(limit)
+        if near.sum() > 16 * k * len(q):  # a dense group: only what can be among those asked for
+            first = d <= up(np.partition(d, k - 1, axis=1)[:, k - 1 : k]) if d.shape[1] > k else np.ones(d.shape, bool)
+            if part is not None:
+                first |= d <= np.repeat(up(np.minimum.reduceat(d, starts, axis=1)), sizes, axis=1)
+            near &= first
+        i, j = np.nonzero(near)
         d = ((q[i] - y[j]) ** 2).sum(1)
         held = d <= limit
         i, j, d = i[held], order[j[held]], d[held]
