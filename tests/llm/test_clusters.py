@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from trigrid.functions import leaves as leaves_module
 from trigrid.functions.leaves import Leaves
 from trigrid.llm import clusters as clusters_module
 from trigrid.llm.clusters import EDGES, average_linkage, clusters, connected, described, merge_rounds, spanning_edges
@@ -193,3 +197,27 @@ def test_nothing_to_cluster(spark):
     assert clusters(empty, 4, 0.25, 0, np.zeros((0, 4))).count() == 0
     lone = frame(spark, np.array([1, 2]), np.array([[0.0] * 4, [9.0] * 4]))
     assert clusters(lone, 4, 0.25, 2, np.zeros((1, 4))).count() == 0
+
+
+def test_many_leaves_in_bounded_memory(monkeypatch):
+    """Of a large table: neither the driver, which makes the leaves, nor a worker that routes a batch holds all rows by all leaves; the rows are the same."""
+    x = np.random.default_rng(8).normal(0, 1, (8000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x))], names=["id", "vec"])
+
+    def routed(cells):
+        monkeypatch.setattr(leaves_module, "CELLS", cells, raising=False)
+        tracemalloc.start()
+        leaves = Leaves(x, 10**9)
+        made = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        rows = [r for b in clusters_module._route(leaves, 4, 0.05)(iter([batch])) for r in zip(*(b.column(c).to_pylist() for c in ("leaf", "block", "role", "id")), strict=True) if r[1] == 0]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sorted(rows), len(leaves.c), made, most
+
+    monkeypatch.setattr(clusters_module, "_spread", lambda _, row, leaf: (row, leaf, np.zeros(len(row), np.int64)))
+    monkeypatch.setattr(clusters_module, "_vector_hash", lambda v: np.zeros(len(v), np.int64))
+    want, n, _, _ = routed(2**30)
+    rows, same, made, most = routed(2**18)
+    assert rows == want and len(rows) > len(x) and same == n > 1000
+    assert made < len(x) * n * 8 / 4 and most < len(x) * n * 8 / 4

@@ -108,7 +108,7 @@ def spanning_edges(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray
 
 def _route(leaves: Leaves, size: int, radius: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in leaves.slices(batches):
             ids, x = b.column("id").to_numpy(), matrix(b.column("vec"), size)
             home, d = leaves.home(x)
             own = _vector_hash(x) % leaves.blocks[home]
