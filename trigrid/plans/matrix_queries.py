@@ -67,7 +67,7 @@ def s4_write_read_mtx(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {Y}, r AS (SELECT col_id, row_number() OVER (ORDER BY col_id DESC) AS new_col FROM (SELECT DISTINCT col_id FROM y)) SELECT row_id, new_col AS col_id, value FROM y JOIN r USING (col_id)")
 def s5_read_columns(spark: SparkSession, d: str) -> DataFrame:
     """All columns that have entries, requested from the last to the first."""
-    y = v.counts(spark, d)
+    y, _ = materialize(v.counts(spark, d), "counts")  # read for the request and again for its columns
     ids = y.select((-F.col("col_id")).alias("neg")).distinct()
     from trigrid.runtime import numbered
 
